@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from twinplan.llm import exact
+from twinplan.llm import exact, quality
 
 QUERIES = {
+    "op8_quality_rules": quality.op8_quality_rules,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
