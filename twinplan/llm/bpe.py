@@ -43,8 +43,8 @@ LEXICON = 1 << 18
 MEMORY = 400_000
 END = "</w>"
 NO_PAIR = (1 << 60, 0)
-#: White space as the tokenizer file's pattern has it.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+#: White space of the common characters, as the tokenizer file's pattern has it.
+_SPACE = r"\t-\r \x85\xa0"
 #: Characters outside these may be classed or normalised otherwise in another Unicode version: the library itself does their texts' first steps.
 _UNCOMMON = re.compile("[^\\0-ӿ‐-‧‰-⁞₠-₿、-〿ぁ-ゖ゠-ヿ一-鿿가-힣]")
 
