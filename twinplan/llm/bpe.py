@@ -36,6 +36,8 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinplan.llm.common import written
+
 VOCABULARY = "word_bpe_49k.json"
 #: The most words that are compiled; it bounds the automaton, some 12 MB.
 LEXICON = 1 << 18
@@ -258,8 +260,16 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int = LEXICON) -> list[str]:
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(partial(_count, path=path), "word string, n long")
-    total = counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
-    return [r["word"] for r in total.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    total = written(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "counts")
+    # how many words have each count (larger counts in classes): the least count that still leaves at most `most` words
+    size = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(16 * F.log2(F.col("n") / 1024)))
+    least, held = None, 0
+    for r in total.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).orderBy(F.desc("size")).collect():
+        held += r["words"]
+        if held > most:
+            break
+        least = r["n"]
+    return [] if least is None else [r["word"] for r in total.filter(F.col("n") >= least).select("word").collect()]
 
 
 # --- encoding and decoding -------------------------------------------------------

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from twinplan.llm import bpe, exact, langid, quality, suffixes
+from twinplan.llm import bpe, exact, langid, quality, recompress, suffixes
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_suffix_dedup": suffixes.op3_suffix_dedup,
+    "op5_recompression": recompress.op5_recompression,
     "op7_langid": langid.op7_langid,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_exact_dedup": exact.op10_exact_dedup,

@@ -37,6 +37,8 @@ from twinplan.llm.repeats import Piece, Router, packed, ranges, remove_repeats,
 
 #: Bytes of a long text that are worked on at once.
 STRETCH = 4 << 20
+#: Bits of a key for the place in the block: more than a stretch has bytes.
+BITS = 24
 
 
 def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -71,7 +73,7 @@ class Bytes:
         roll = byte_hashes(data)
         places = np.arange(len(data) - K + 1)
         seeds = roll.of(places, places + K)
-        bits = np.uint64(max(1, int(len(data)).bit_length()))
+        bits = np.uint64(BITS)  # as many in every block, so that all blocks rank alike
         key = (seeds >> bits) << bits | places.astype(np.uint64)
         least = sliding_min(key, W - K + 1)[:total]
         anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
