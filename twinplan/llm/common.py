@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 import numpy as np
@@ -15,9 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors and the driver share, with its scheme: spark.checkpoint.dir, or one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return folder.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return re.sub(r"^file:/(?!//)", "file:///", full).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
