@@ -24,13 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinplan.llm.common import with_rid, written
+from twinplan.llm.common import discard, with_rid, written
 
 MIN_WORDS = 6
 
 
 def words_of_line(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), lambda w: w != "")
+    for mark in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(mark), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
@@ -42,10 +44,6 @@ def _zone(words: Column, z: Column, side: int) -> Column:
     return F.xxhash64(F.lit(side), z, F.slice(words, start, z))
 
 
-def _zone_of(side: int):
-    return lambda z: F.struct(F.lit(side).alias("side"), _zone(F.col("words"), z, side).alias("zone"))
-
-
 def _chain(words: Column, seed: int) -> Column:
     """Hashes of the first 0, 1, 2, ... words."""
     return F.aggregate(words, F.array(F.lit(seed).cast("long")), lambda a, w: F.array_append(a, F.xxhash64(F.element_at(a, -1), w)))
@@ -67,17 +65,18 @@ def _variants(words: Column, first_half: Column, last_half: Column) -> Column:
 
 
 def first_lines(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """rid and at of each line that stays because of its words (lines without a word aside)."""
+    """rid and stay: the places of the lines that stay because of their words (lines without a word aside)."""
     slim = keyed.select("rid", "text")
     lines = _lines(slim).withColumn("words", words_of_line(F.col("line"))).withColumn("n", F.size("words"))
     half, less = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
-    sizes = F.when(F.col("n") >= min_words, F.array_distinct(F.array(half, less))).otherwise(F.array().cast("array<int>"))
-    zones = F.concat(*[F.transform(sizes, _zone_of(side)) for side in (0, 1)])
-    hashed = lines.filter("n > 0").select(F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), "rid", "at", zones.alias("zones"))
+    long, words = F.col("n") >= min_words, F.col("words")
+    halves = {f"{name}{side}": F.when(ok, _zone(words, z, side)) for name, z, ok in (("half", half, long), ("less", less, long & (less < half))) for side in (0, 1)}
+    hashed = lines.filter("n > 0").select(F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), "rid", "at", *[c.alias(k) for k, c in halves.items()])
     distinct = written(
-        hashed.groupBy("k1", "k2").agg(F.min(F.struct("rid", "at", "zones")).alias("first")).select("first.*"), "distinct_lines"
+        hashed.groupBy("k1", "k2").agg(F.min(F.struct("rid", "at", *halves)).alias("first")).select("first.*"), "distinct_lines"
     )
-    every = distinct.select("rid", "at", F.explode("zones").alias("z")).select("rid", "at", "z.side", "z.zone")
+    zones = F.array(*[F.struct(F.lit(int(k[-1])).alias("side"), F.col(k).alias("zone")) for k in halves])
+    every = distinct.filter("half0 is not null").select("rid", "at", F.inline(zones)).filter("zone is not null")
     shared = every.groupBy("zone").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("zone")
     near = (
         every.join(shared, "zone", "left_semi").groupBy("rid", "at")
@@ -98,15 +97,17 @@ def first_lines(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     variants = written(few, "variants")
     least = variants.groupBy("k1", "k2").agg(F.min(F.struct("rid", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2", "first")
     dropped = variants.join(least, ["k1", "k2"]).filter((F.col("rid") != F.col("first.rid")) | (F.col("at") != F.col("first.at"))).select("rid", "at").distinct()
-    return distinct.select("rid", "at").join(dropped, ["rid", "at"], "left_anti")
+    stay = distinct.select("rid", "at").join(dropped, ["rid", "at"], "left_anti").groupBy("rid").agg(F.collect_list("at").alias("stay"))
+    out = written(stay, "first_lines")
+    discard(variants, distinct)
+    return out
 
 
 def drop_lines(keyed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """For each row of with_rid(): rid, id, n_lines, n_removed and the text that is left; null stays null."""
-    stay = first_lines(keyed, min_words).groupBy("rid").agg(F.collect_list("at").alias("stay"))
-    rows = keyed.select("rid", "id", "text").join(stay, "rid", "left").withColumn("lines", F.split("text", "\n", -1))
+    rows = keyed.select("rid", "id", "text").join(first_lines(keyed, min_words), "rid", "left").withColumn("lines", F.split("text", "\n", -1))
     stay = F.coalesce("stay", F.array().cast("array<int>"))
-    lines = F.filter("lines", lambda line, i: (F.translate(line, " \t\x0b\x0c\r", "") == "") | F.array_contains(stay, i))
+    lines = F.filter("lines", lambda line, i: (F.btrim(line, F.lit(" \t\x0b\x0c\r")) == "") | F.array_contains(stay, i))
     kept = rows.withColumn("left", lines)
     return kept.select(
         "rid", "id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
