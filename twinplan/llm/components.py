@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinplan.llm.common import written
 
 
+#: Up to so many edges (16 bytes each) one task finds the components; beyond, rounds over the whole cluster do.
+ONE_TASK = 500_000
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pairs = [np.stack([np.asarray(b.column("u")), np.asarray(b.column("v"))]) for b in batches if b.num_rows]
+    if not pairs:
+        return
+    name, at = np.unique(np.concatenate(pairs, 1), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    label = np.arange(len(name))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        for x in (u, v, label[u], label[v]):
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    on = label != np.arange(len(name))
+    yield pa.RecordBatch.from_arrays([pa.array(name[on]), pa.array(name[label[on]])], ["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) for every node of the edges (a, b), but the components' least nodes.
 
@@ -16,6 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
     is found by a combined aggregate.
     """
     now = written(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if now.count() <= ONE_TASK:
+        return written(now.repartition(1).mapInArrow(_in_one_task, "node long, component long"), "components")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

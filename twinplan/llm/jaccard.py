@@ -7,7 +7,8 @@ smallest id reachable by links.
 
 Unrelated documents are all at distance 1 from one another and from every pivot,
 so no pivot tells them apart; first come the regions in which distances say
-something. Linked documents share one of the first n - ceil(PERCENT n / 100) + 1
+something. Sets that share too few of their first shingles with any other are
+alone (see _ask). Linked documents share one of the first n - ceil(PERCENT n / 100) + 1
 shingles of each set in any common order, here the rarest first by a bounded
 sample, then by hash. What is connected by such shingles is one region, and no
 link leaves it. Inside of a region pivots make Voronoi cells, farthest first:
@@ -31,6 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +43,15 @@ from twinplan.llm.repeats import PACKED, by_rid, packed, part_of_rid, ranges, un
 
 SIZE, PERCENT = 4, 85
 #: Documents in the sample that tells frequent shingles from rare ones, and how many frequent ones are named.
-SAMPLE_DOCS, FREQUENT = 2000, 100_000
+SAMPLE_DOCS, FREQUENT = 10_000, 300_000
 #: A cell of at most so many sets is compared directly; pivots of a larger one.
 LEAF, PIVOTS = 64, 12
 
 SHARED = (("shingle", "u8"), ("root", "i8"))
 PLACED = (("rid", "i8"), ("region", "i8"))
+ASKED = (("shingle", "u8"), ("rid", "i8"), ("ask", "u1"))
+NEEDED = (("rid", "i8"), ("n", "u4"), ("need", "u4"), ("seen", "u4"))
+ANSWER = (("rid", "i8"), ("seen", "u4"))
 
 
 def shingle_sets(block: Block, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -105,11 +110,72 @@ def _prefixes(h: np.ndarray, first: np.ndarray, order: Order, percent: int) -> t
     size = np.diff(first)
     owner = np.repeat(np.arange(len(size)), size)
     by = np.lexsort((order.key(h), owner))
-    length = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
+    length = np.where(size > 0, _may_miss(size, percent) + 1, 0)
     pick = by[ranges(first[:-1], length)]
     return h[pick], owner[pick]
 
 
+def _may_miss(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles of a set of this size a linked set may lack."""
+    return size - (percent * size + 99) // 100
+
+
+def _ask(batches: Iterator[pa.RecordBatch], order: Order, percent: int, n: int) -> Iterator[pa.RecordBatch]:
+    """Which of a set's first shingles does another set have?
+
+    Of the first m = may_miss + need shingles of a set, a linked set has `need`
+    at least; each stands there no later than at m + what that one may hold
+    besides. So sets show as many, and one with fewer shared ones among its
+    first m has no link.
+    """
+    for block in text_blocks(batches):
+        rids = np.asarray(block.rows.column("rid"))
+        h, first = shingle_sets(block)
+        size = np.diff(first)
+        miss = _may_miss(size, percent)
+        looked = lambda size: _may_miss(size, percent) * 3 // 2 + 1
+        own, shown = np.minimum(looked(size), size), np.minimum(looked(100 * size // percent) + miss, size)
+        owner = np.repeat(np.arange(block.n), size)
+        by = np.lexsort((order.key(h), owner))
+        place = np.arange(len(h)) - first[owner]
+        on = place < shown[owner]
+        shingle, owner, asks = h[by[on]], owner[on], (place < own[owner])[on]
+        value, at, which, count = np.unique(shingle, return_index=True, return_inverse=True, return_counts=True)
+        here = (count > 1)[which] & asks
+        seen = np.bincount(owner[here], minlength=block.n)
+        yield packed(by_rid(rids, n), {"rid": rids, "n": size, "need": own - miss, "seen": seen}, NEEDED, "needed")
+        yield packed((value % np.uint64(n)).astype(np.int32), {"shingle": value, "rid": rids[owner[at]], "ask": asks[at] & (count == 1)}, ASKED, "asked")
+
+
+def _answer(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    held = []
+    for batch in batches:
+        kinds = batch.column("kind").to_pylist()
+        held += [d for k, d in zip(kinds, batch.column("data").to_pylist()) if k == "asked"]
+        needed = batch.filter(pa.array([k == "needed" for k in kinds], pa.bool_()))
+        if needed.num_rows:
+            yield needed
+    r = unpacked(held, ASKED)
+    del held
+    _, which, count = np.unique(r["shingle"], return_inverse=True, return_counts=True)
+    rid, seen = np.unique(r["rid"][(r["ask"] == 1) & (count[which] > 1)], return_counts=True)
+    yield packed(by_rid(rid, n), {"rid": rid, "seen": seen}, ANSWER, "answer")
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, list[bytes]] = {"needed": [], "answer": []}
+    for batch in batches:
+        for k, d in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist()):
+            held[k].append(d)
+    needed, answers = unpacked(held["needed"], NEEDED), unpacked(held["answer"], ANSWER)
+    order = np.argsort(needed["rid"])
+    rid = needed["rid"][order]
+    seen = needed["seen"][order].astype(np.int64)
+    np.add.at(seen, np.searchsorted(rid, answers["rid"]), answers["seen"].astype(np.int64))
+    on = (needed["n"][order] > 0) & (seen >= needed["need"][order])
+    yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(needed["n"][order].astype(np.int64)), pa.array(on)], ["rid", "n", "on"])
+
+
 def _least_label(group: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """For owners connected by common groups: the least owner of each one's component."""
     label = np.arange(n)
@@ -183,12 +249,11 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
         sums2 = np.r_[np.uint64(0), np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)))]
         one, two = sums[first[1:]] - sums[first[:-1]], sums2[first[1:]] - sums2[first[:-1]]
         at = np.flatnonzero(has)
-        order, new, group = first_of_groups(one[at], two[at], size[at], regions[at], rids[at])
-        order, group = at[order], None
+        order, _, _ = first_of_groups(one[at], two[at], size[at], regions[at], rids[at])
+        order = at[order]
         same = np.zeros(len(order), bool)
-        for k in range(1, len(order)):
-            a, b = order[k - 1], order[k]
-            same[k] = one[a] == one[b] and two[a] == two[b] and size[a] == size[b] and regions[a] == regions[b]
+        if len(order) > 1:
+            same[1:] = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (one, two, size, regions)])
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
         rep = rids.copy()
         rep[order] = rids[order[head]] if len(order) else rep[order]
@@ -198,9 +263,11 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
         data = [None] * block.n
         for i in ships.tolist():
             data[i] = h[first[i] : first[i + 1]].tobytes()
+        part = by_rid(rids, n)
+        part[ships] = by_rid(regions[ships], n)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(kind, pa.string()), block.rows.column("region"), block.rows.column("rid"), block.rows.column("id"), pa.array(size.astype(np.int64)), pa.array(rep), pa.array(data, pa.binary())],
-            ["kind", "region", "rid", "id", "n", "rep", "data"],
+            [pa.array(part), pa.array(kind, pa.string()), block.rows.column("region"), block.rows.column("rid"), block.rows.column("id"), pa.array(size.astype(np.int64)), pa.array(rep), pa.array(data, pa.binary())],
+            ["part", "kind", "region", "rid", "id", "n", "rep", "data"],
         )
 
 
@@ -286,18 +353,24 @@ def _join_regions(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         label = index.label.tolist()
         best = [least.setdefault(label[w], r) for w, r in zip(which, rows)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([b[1] for b in best], pa.int64())],
-            ["rid", "id", "n", "component"],
+            [pa.array(["set"] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([b[1] for b in best], pa.int64())],
+            ["kind", "rid", "id", "n", "rep", "component"],
         )
 
     last = None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("region", "rid", "id", "n", "data")]
-        for region, *row in zip(*columns):
-            if last is not None and region != last:
-                yield solved(last)
-            found.setdefault(region, []).append(tuple(row))
-            last = region
+        is_set = pa.array([k == "set" for k in batch.column("kind").to_pylist()], pa.bool_())
+        settled = batch.filter(pc.invert(is_set))
+        if settled.num_rows:
+            yield pa.RecordBatch.from_arrays([settled.column(c) for c in ("kind", "rid", "id", "n", "rep", "id")], ["kind", "rid", "id", "n", "rep", "component"])
+        batch = batch.filter(is_set)
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            for region, *row in zip(*[part.column(c).to_pylist() for c in ("region", "rid", "id", "n", "data")]):
+                if last is not None and region != last:
+                    yield solved(last)
+                found.setdefault(region, []).append(tuple(row))
+                last = region
     if last is not None:
         yield solved(last)
 
@@ -308,6 +381,15 @@ def classes(keyed: DataFrame, percent: int = PERCENT) -> DataFrame:
     keyed = keyed.select("rid", "id", "text")
     n = parts(spark, keyed)
     order = common_order(keyed)
+    asked = keyed.select("rid", "text").mapInArrow(partial(_ask, order=order, percent=percent, n=n), PACKED).repartitionById(n, F.col("part"))
+    answered = asked.mapInArrow(partial(_answer, n=n), PACKED).repartitionById(n, F.col("part"))
+    decided = written(answered.mapInArrow(_decide, "rid long, n long, on boolean"), "decided")
+    alone = decided.filter("not on").join(keyed.select("rid", "id"), "rid").select("rid", "id", "n", F.col("id").alias("component"))
+    rest = written(keyed.join(decided.filter("on").select("rid"), "rid", "left_semi"), "rest")
+    return alone.unionByName(_classes(rest, order, percent, n))
+
+
+def _classes(keyed: DataFrame, order: Order, percent: int, n: int) -> DataFrame:
     cover = keyed.select("rid", "text").mapInArrow(partial(_cover, order=order, percent=percent, n=n), PACKED)
     met = written(cover.repartitionById(n, F.col("part")).mapInArrow(_meet, PACKED).mapInArrow(_plain, "kind string, a long, b long"), "cover")
     placed = met.filter("kind = 'placed'").select(F.col("a").alias("rid"), F.col("b").alias("root"))
@@ -319,15 +401,15 @@ def classes(keyed: DataFrame, percent: int = PERCENT) -> DataFrame:
     heads = every.select(F.col("region").alias("rid"), "region").distinct()
     regions = written(every.unionByName(heads), "regions")
     texts = keyed.join(regions, "rid", "left")
-    sets = written(texts.select("rid", "id", "text", "region").mapInArrow(partial(_sets, n=n), "kind string, region long, rid long, id long, n long, rep long, data binary"), "sets")
+    sets = texts.select("rid", "id", "text", "region").mapInArrow(partial(_sets, n=n), "part int, kind string, region long, rid long, id long, n long, rep long, data binary")
     joined = written(
-        sets.filter("kind = 'set'").select("region", "rid", "id", "n", "data").repartition(n, "region").sortWithinPartitions("region")
-        .mapInArrow(partial(_join_regions, percent=percent), "rid long, id long, n long, component long"),
+        sets.repartitionById(n, F.col("part")).sortWithinPartitions("kind", "region")
+        .mapInArrow(partial(_join_regions, percent=percent), "kind string, rid long, id long, n long, rep long, component long"),
         "joined",
     )
-    done = sets.filter("kind = 'done'").select("rid", "id", "n", F.col("id").alias("component"))
-    members = sets.filter("kind = 'member'").select("rid", "id", "n", "rep").join(joined.select(F.col("rid").alias("rep"), "component"), "rep").drop("rep")
-    return done.unionByName(joined).unionByName(members)
+    members, rest = joined.filter("kind = 'member'").drop("component"), joined.filter("kind != 'member'")
+    found = rest.filter("kind = 'set'").select("rep", "component")
+    return rest.select("rid", "id", "n", "component").unionByName(members.join(found, "rep").select("rid", "id", "n", "component"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
