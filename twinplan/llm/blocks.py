@@ -1,7 +1,7 @@
 """Texts as blocks of bytes: what the vectorised operators share.
 
 A block is a run of rows of an Arrow batch, cut so that its texts together hold
-about limit bytes; a longer text is a block of its own. Nulls read as empty.
+about limit bytes, and has at most 65536 rows; a longer text is a block of its own. Nulls read as empty.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         i = 0
         while i < len(texts):
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-            j = min(j, len(texts))
+            j = min(j, len(texts), i + (1 << 16))
             yield Block(batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             i = j
 

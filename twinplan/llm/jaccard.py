@@ -10,8 +10,8 @@ so no pivot tells them apart; first come the regions in which distances say
 something. Sets that share too few of their first shingles with any other are
 alone (see _ask). Linked documents share one of the first n - ceil(PERCENT n / 100) + 1
 shingles of each set in any common order, here the rarest first by a bounded
-sample, then by hash. What is connected by such shingles is one region, and no
-link leaves it. Inside of a region pivots make Voronoi cells, farthest first:
+sample, then by hash. What is connected by such shingles and are near enough in size to
+be linked, step by step, is one region, and no link leaves it. Inside of a region pivots make Voronoi cells, farthest first:
 
 * a set within the link distance of a pivot is linked there and then;
 * a set goes to its nearest pivot's cell, and by the triangle inequality to each
@@ -47,11 +47,12 @@ SAMPLE_DOCS, FREQUENT = 10_000, 300_000
 #: A cell of at most so many sets is compared directly; pivots of a larger one.
 LEAF, PIVOTS = 64, 12
 
-SHARED = (("shingle", "u8"), ("root", "i8"))
+SHARED = (("shingle", "u8"), ("root", "i8"), ("least", "u4"), ("most", "u4"))
 PLACED = (("rid", "i8"), ("region", "i8"))
-ASKED = (("shingle", "u8"), ("rid", "i8"), ("ask", "u1"))
-NEEDED = (("rid", "i8"), ("n", "u4"), ("need", "u4"), ("seen", "u4"))
-ANSWER = (("rid", "i8"), ("seen", "u4"))
+#: A shingle by 31 bits, which can only count too many as shared, and in the lowest bit whether it asks; the place of its text in the block.
+ASKED = (("shingle", "u4"), ("place", "u2"))
+NEEDED = (("head", "i8"), ("place", "u2"), ("rid", "i8"), ("n", "u4"), ("need", "u4"), ("seen", "u4"))
+ANSWER = (("head", "i8"), ("place", "u2"), ("seen", "u4"))
 
 
 def shingle_sets(block: Block, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +144,12 @@ def _ask(batches: Iterator[pa.RecordBatch], order: Order, percent: int, n: int)
         value, at, which, count = np.unique(shingle, return_index=True, return_inverse=True, return_counts=True)
         here = (count > 1)[which] & asks
         seen = np.bincount(owner[here], minlength=block.n)
-        yield packed(by_rid(rids, n), {"rid": rids, "n": size, "need": own - miss, "seen": seen}, NEEDED, "needed")
-        yield packed((value % np.uint64(n)).astype(np.int32), {"shingle": value, "rid": rids[owner[at]], "ask": asks[at] & (count == 1)}, ASKED, "asked")
+        head = np.full(block.n, rids[0])
+        yield packed(by_rid(head, n), {"head": head, "place": np.arange(block.n), "rid": rids, "n": size, "need": own - miss, "seen": seen}, NEEDED, "needed")
+        short = mix(value) >> np.uint64(33) << np.uint64(1) | (asks[at] & (count == 1)).astype(np.uint64)
+        rows = packed((value % np.uint64(n)).astype(np.int32), {"shingle": short, "place": owner[at]}, ASKED, "asked")
+        named = [rids[:1].tobytes() + d for d in rows.column("data").to_pylist()]
+        yield pa.RecordBatch.from_arrays([rows.column("part"), rows.column("kind"), pa.array(named, pa.binary())], ["part", "kind", "data"])
 
 
 def _answer(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -155,11 +160,16 @@ def _answer(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         needed = batch.filter(pa.array([k == "needed" for k in kinds], pa.bool_()))
         if needed.num_rows:
             yield needed
-    r = unpacked(held, ASKED)
+    width = sum(np.dtype(t).itemsize for _, t in ASKED)
+    heads = np.frombuffer(b"".join([d[:8] for d in held]), np.int64)
+    row = np.repeat(np.arange(len(held)), [(len(d) - 8) // width for d in held])
+    r = unpacked([d[8:] for d in held], ASKED)
     del held
-    _, which, count = np.unique(r["shingle"], return_inverse=True, return_counts=True)
-    rid, seen = np.unique(r["rid"][(r["ask"] == 1) & (count[which] > 1)], return_counts=True)
-    yield packed(by_rid(rid, n), {"rid": rid, "seen": seen}, ANSWER, "answer")
+    _, which, count = np.unique(r["shingle"] >> 1, return_inverse=True, return_counts=True)
+    on = (r["shingle"] & 1 == 1) & (count[which] > 1)
+    key, seen = np.unique(row[on].astype(np.int64) << 16 | r["place"][on], return_counts=True)
+    head = heads[key >> 16]
+    yield packed(by_rid(head, n), {"head": head, "place": key & 0xFFFF, "seen": seen}, ANSWER, "answer")
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +178,32 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, d in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist()):
             held[k].append(d)
     needed, answers = unpacked(held["needed"], NEEDED), unpacked(held["answer"], ANSWER)
-    order = np.argsort(needed["rid"])
-    rid = needed["rid"][order]
+    heads, block = np.unique(needed["head"], return_inverse=True)
+    key = block.astype(np.int64) << 16 | needed["place"]
+    order = np.argsort(key)
+    asked = np.searchsorted(heads, answers["head"]).astype(np.int64) << 16 | answers["place"]
     seen = needed["seen"][order].astype(np.int64)
-    np.add.at(seen, np.searchsorted(rid, answers["rid"]), answers["seen"].astype(np.int64))
-    on = (needed["n"][order] > 0) & (seen >= needed["need"][order])
-    yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(needed["n"][order].astype(np.int64)), pa.array(on)], ["rid", "n", "on"])
+    np.add.at(seen, np.searchsorted(key[order], asked), answers["seen"].astype(np.int64))
+    size = needed["n"][order].astype(np.int64)
+    on = (size > 0) & (seen >= needed["need"][order])
+    yield pa.RecordBatch.from_arrays([pa.array(needed["rid"][order]), pa.array(size), pa.array(on)], ["rid", "n", "on"])
+
+
+def _chains(shingle: np.ndarray, least: np.ndarray, most: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """order, and for its places the number of a chain: records of one shingle whose sizes, least to most, leave no gap that no link spans.
+
+    Linked sets differ in size by PERCENT at most, so they are in one chain.
+    """
+    order = np.lexsort((least, shingle))
+    if not len(order):
+        return order, order
+    s, lo, hi = shingle[order], least[order].astype(np.int64), most[order].astype(np.int64)
+    other = np.r_[True, s[1:] != s[:-1]]
+    group = np.cumsum(other) - 1
+    # the largest size so far within each shingle: a running maximum that starts anew, as groups are set apart
+    reach = np.maximum.accumulate(group << 33 | hi) & (1 << 33) - 1
+    gap = np.r_[True, 100 * reach[:-1] < percent * lo[1:]]
+    return order, np.cumsum(other | gap) - 1
 
 
 def _least_label(group: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -198,19 +228,30 @@ def _least_label(group: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 def _cover(batches: Iterator[pa.RecordBatch], order: Order, percent: int, n: int) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches):
         rids = np.asarray(block.rows.column("rid"))
-        h, owner = _prefixes(*shingle_sets(block), order, percent)
+        sets, first = shingle_sets(block)
+        h, owner = _prefixes(sets, first, order, percent)
+        size = np.diff(first)[owner]
         rank = np.argsort(rids, kind="stable")
         place = np.empty(block.n, np.int64)
         place[rank] = np.arange(block.n)
-        label = _least_label(h, place[owner], block.n)[place]
+        by, chain = _chains(h, size, size, percent)
+        label = _least_label(chain, place[owner[by]], block.n)[place]
         root = rids[rank[label]]
         moved = np.flatnonzero(root != rids)
         yield packed(by_rid(rids[moved], n), {"rid": rids[moved], "region": root[moved]}, PLACED, "placed")
-        value, at = np.unique(h, return_index=True)
-        yield packed((value % np.uint64(n)).astype(np.int32), {"shingle": value, "root": root[owner[at]]}, SHARED, "shared")
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(h):
+            continue
+        head = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]])
+        last = np.r_[head[1:], len(chain)] - 1
+        value = h[by[head]]
+        yield packed(
+            (value % np.uint64(n)).astype(np.int32),
+            {"shingle": value, "root": root[owner[by[head]]], "least": size[by[head]], "most": size[by[last]]}, SHARED, "shared",
+        )
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """What a partition's chains connect, as one star for each of its components: fewer edges than it has roots."""
     held = []
     for batch in batches:
         kinds = batch.column("kind").to_pylist()
@@ -219,16 +260,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if placed.num_rows:
             yield placed
     r = unpacked(held, SHARED)
-    by = np.lexsort((r["root"], r["shingle"]))
-    s, root = r["shingle"][by], r["root"][by]
-    if not len(s):
-        return
-    new = np.r_[True, s[1:] != s[:-1]]
-    least = root[new][np.cumsum(new) - 1]
-    on = least != root
-    pairs = np.unique(np.stack([root[on], least[on]], 1), axis=0) if on.any() else np.zeros((0, 2), np.int64)
-    if len(pairs):
-        yield packed(np.zeros(len(pairs), np.int32), {"rid": pairs[:, 0], "region": pairs[:, 1]}, PLACED, "edge")
+    by, chain = _chains(r["shingle"], r["least"], r["most"], percent)
+    root, at = np.unique(r["root"][by], return_inverse=True)
+    label = _least_label(chain, at, len(root))
+    on = np.flatnonzero(label != np.arange(len(root)))
+    if len(on):
+        yield packed(np.zeros(len(on), np.int32), {"rid": root[on], "region": root[label[on]]}, PLACED, "edge")
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,13 +422,13 @@ def classes(keyed: DataFrame, percent: int = PERCENT) -> DataFrame:
     answered = asked.mapInArrow(partial(_answer, n=n), PACKED).repartitionById(n, F.col("part"))
     decided = written(answered.mapInArrow(_decide, "rid long, n long, on boolean"), "decided")
     alone = decided.filter("not on").join(keyed.select("rid", "id"), "rid").select("rid", "id", "n", F.col("id").alias("component"))
-    rest = written(keyed.join(decided.filter("on").select("rid"), "rid", "left_semi"), "rest")
+    rest = written(keyed.join(decided.filter("on").select("rid").hint("merge"), "rid", "left_semi"), "rest")
     return alone.unionByName(_classes(rest, order, percent, n))
 
 
 def _classes(keyed: DataFrame, order: Order, percent: int, n: int) -> DataFrame:
     cover = keyed.select("rid", "text").mapInArrow(partial(_cover, order=order, percent=percent, n=n), PACKED)
-    met = written(cover.repartitionById(n, F.col("part")).mapInArrow(_meet, PACKED).mapInArrow(_plain, "kind string, a long, b long"), "cover")
+    met = written(cover.repartitionById(n, F.col("part")).mapInArrow(partial(_meet, percent=percent), PACKED).mapInArrow(_plain, "kind string, a long, b long"), "cover")
     placed = met.filter("kind = 'placed'").select(F.col("a").alias("rid"), F.col("b").alias("root"))
     between = components(met.filter("kind = 'edge'").select("a", "b"))
     # every row of a region: its root's component, or its root, or itself
@@ -400,7 +437,7 @@ def _classes(keyed: DataFrame, order: Order, percent: int, n: int) -> DataFrame:
     every = inner.unionByName(roots)
     heads = every.select(F.col("region").alias("rid"), "region").distinct()
     regions = written(every.unionByName(heads), "regions")
-    texts = keyed.join(regions, "rid", "left")
+    texts = keyed.join(regions.hint("merge"), "rid", "left")
     sets = texts.select("rid", "id", "text", "region").mapInArrow(partial(_sets, n=n), "part int, kind string, region long, rid long, id long, n long, rep long, data binary")
     joined = written(
         sets.repartitionById(n, F.col("part")).sortWithinPartitions("kind", "region")
