@@ -10,8 +10,8 @@ so no pivot tells them apart; first come the regions in which distances say
 something. Sets that share too few of their first shingles with any other are
 alone (see _ask). Linked documents share one of the first n - ceil(PERCENT n / 100) + 1
 shingles of each set in any common order, here the rarest first by a bounded
-sample, then by hash. What is connected by such shingles and are near enough in size to
-be linked, step by step, is one region, and no link leaves it. Inside of a region pivots make Voronoi cells, farthest first:
+sample, then by hash. What such shingles connect, by
+steps between sizes that a link can span, is one region, and no link leaves it. Inside of a region pivots make Voronoi cells, farthest first:
 
 * a set within the link distance of a pivot is linked there and then;
 * a set goes to its nearest pivot's cell, and by the triangle inequality to each
@@ -250,7 +250,7 @@ def _cover(batches: Iterator[pa.RecordBatch], order: Order, percent: int, n: int
         )
 
 
-def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], percent: int, n: int) -> Iterator[pa.RecordBatch]:
     """What a partition's chains connect, as one star for each of its components: fewer edges than it has roots."""
     held = []
     for batch in batches:
@@ -265,14 +265,19 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
     label = _least_label(chain, at, len(root))
     on = np.flatnonzero(label != np.arange(len(root)))
     if len(on):
-        yield packed(np.zeros(len(on), np.int32), {"rid": root[on], "region": root[label[on]]}, PLACED, "edge")
+        yield packed(by_rid(root[on], n), {"rid": root[on], "region": root[label[on]]}, PLACED, "edge")
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of a partition, and its edges once each."""
+    held: dict[str, list[bytes]] = {"placed": [], "edge": []}
     for batch in batches:
-        for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist()):
-            r = unpacked([data], PLACED)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(r["rid"]), pa.string()), pa.array(r["rid"]), pa.array(r["region"])], ["kind", "a", "b"])
+        for k, d in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist()):
+            held[k].append(d)
+    for kind, rows in held.items():
+        r = unpacked(rows, PLACED)
+        pairs = np.unique(np.stack([r["rid"], r["region"]], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(pairs), pa.string()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["kind", "a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -428,7 +433,8 @@ def classes(keyed: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _classes(keyed: DataFrame, order: Order, percent: int, n: int) -> DataFrame:
     cover = keyed.select("rid", "text").mapInArrow(partial(_cover, order=order, percent=percent, n=n), PACKED)
-    met = written(cover.repartitionById(n, F.col("part")).mapInArrow(partial(_meet, percent=percent), PACKED).mapInArrow(_plain, "kind string, a long, b long"), "cover")
+    met = cover.repartitionById(n, F.col("part")).mapInArrow(partial(_meet, percent=percent, n=n), PACKED).repartitionById(n, F.col("part"))
+    met = written(met.mapInArrow(_plain, "kind string, a long, b long"), "cover")
     placed = met.filter("kind = 'placed'").select(F.col("a").alias("rid"), F.col("b").alias("root"))
     between = components(met.filter("kind = 'edge'").select("a", "b"))
     # every row of a region: its root's component, or its root, or itself
