@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the row with the smallest id stays."""
-    return jaccard.dedup(docs)
+    """Of each class of near duplicates (shingles of five words, similarity of 0.8 or more) the row with the smallest id stays."""
+    return jaccard.dedup(docs, percent=80, words=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,20 +72,20 @@ def test_recompression(docs, rows):
     assert {r["id"]: tuple(r)[1:] for r in recompress.remove(docs).collect()} == expected
 
 
-@pytest.mark.parametrize("leaf", [64, 4])
-def test_jaccard(docs, rows, leaf, monkeypatch):
+@pytest.mark.parametrize(("leaf", "size", "percent"), [(64, 4, 85), (4, 4, 85), (4, 5, 80)])
+def test_jaccard(docs, rows, leaf, size, percent, monkeypatch):
     monkeypatch.setattr(jaccard, "LEAF", leaf)
     sets = {}
     for i, t in rows:
         w = WORD.findall(t or "")
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
     label = {i: i for i in sets}
     for i, a in sets.items():
         for j, b in sets.items():
-            if j > i and a and 100 * len(a & b) >= 85 * len(a | b) and label[i] != label[j]:
+            if j > i and a and 100 * len(a & b) >= percent * len(a | b) and label[i] != label[j]:
                 lo, hi = sorted((label[i], label[j]))
                 label = {k: lo if v == hi else v for k, v in label.items()}
-    got = {r["id"]: (r["n"], r["component"]) for r in jaccard.classes(with_rid(docs)).collect()}
+    got = {r["id"]: (r["n"], r["component"]) for r in jaccard.classes(with_rid(docs), percent, size).collect()}
     assert got == {i: (len(sets[i]), label[i]) for i in sets}
 
 

@@ -1,6 +1,6 @@
 """Exact Jaccard join of documents' shingle sets, in regions around pivots.
 
-A document's set: its distinct shingles of SIZE words (A-Z lower-cased); with
+A document's set: its distinct shingles of `words` words, SIZE unless given (A-Z lower-cased); with
 fewer words, all of them as one; without words, empty and linked with nothing.
 Two documents link when 100 * intersection >= PERCENT * union. A row gets the
 smallest id reachable by links.
@@ -85,19 +85,19 @@ class Order:
         return np.minimum(seen, np.uint64(255)) << np.uint64(56) | mix(h) >> np.uint64(8)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches):
-        h, _ = shingle_sets(block)
+        h, _ = shingle_sets(block, size)
         value, n = np.unique(h, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n, pa.int64())], ["shingle", "n"])
 
 
-def common_order(keyed: DataFrame) -> Order:
+def common_order(keyed: DataFrame, size: int = SIZE) -> Order:
     """From some SAMPLE_DOCS documents: at most FREQUENT shingles that several of them have."""
     share = min(1.0, SAMPLE_DOCS / max(keyed.count(), 1))
     few = keyed.filter(F.pmod(F.xxhash64("rid", F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
     rows = (
-        few.mapInArrow(_sampled, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
+        few.mapInArrow(partial(_sampled, size=size), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
         .orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
     )
     found = np.array([(r["shingle"], r["n"]) for r in rows], np.int64).reshape(-1, 2)
@@ -121,7 +121,7 @@ def _may_miss(size: np.ndarray, percent: int) -> np.ndarray:
     return size - (percent * size + 99) // 100
 
 
-def _ask(batches: Iterator[pa.RecordBatch], order: Order, percent: int, n: int) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], order: Order, percent: int, words: int, n: int) -> Iterator[pa.RecordBatch]:
     """Which of a set's first shingles does another set have?
 
     Of the first m = may_miss + need shingles of a set, a linked set has `need`
@@ -131,7 +131,7 @@ def _ask(batches: Iterator[pa.RecordBatch], order: Order, percent: int, n: int)
     """
     for block in text_blocks(batches):
         rids = np.asarray(block.rows.column("rid"))
-        h, first = shingle_sets(block)
+        h, first = shingle_sets(block, words)
         size = np.diff(first)
         miss = _may_miss(size, percent)
         looked = lambda size: _may_miss(size, percent) * 3 // 2 + 1
@@ -225,10 +225,10 @@ def _least_label(group: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _cover(batches: Iterator[pa.RecordBatch], order: Order, percent: int, n: int) -> Iterator[pa.RecordBatch]:
+def _cover(batches: Iterator[pa.RecordBatch], order: Order, percent: int, words: int, n: int) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches):
         rids = np.asarray(block.rows.column("rid"))
-        sets, first = shingle_sets(block)
+        sets, first = shingle_sets(block, words)
         h, owner = _prefixes(sets, first, order, percent)
         size = np.diff(first)[owner]
         rank = np.argsort(rids, kind="stable")
@@ -280,10 +280,10 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([kind] * len(pairs), pa.string()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["kind", "a", "b"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int, n: int) -> Iterator[pa.RecordBatch]:
     """For texts with a region: of equal sets in a block one as a packed set, the others as members; for the rest, the result."""
     for block in text_blocks(batches):
-        h, first = shingle_sets(block)
+        h, first = shingle_sets(block, words)
         size = np.diff(first)
         rids, regions = np.asarray(block.rows.column("rid")), np.asarray(block.rows.column("region").fill_null(-1))
         has = np.asarray(block.rows.column("region").is_valid()) & (size > 0)
@@ -417,22 +417,22 @@ def _join_regions(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         yield solved(last)
 
 
-def classes(keyed: DataFrame, percent: int = PERCENT) -> DataFrame:
+def classes(keyed: DataFrame, percent: int = PERCENT, words: int = SIZE) -> DataFrame:
     """For each row of with_rid(): rid, id, n (size of its set), component (the id of the first row it is connected with)."""
     spark = keyed.sparkSession
     keyed = keyed.select("rid", "id", "text")
     n = parts(spark, keyed)
-    order = common_order(keyed)
-    asked = keyed.select("rid", "text").mapInArrow(partial(_ask, order=order, percent=percent, n=n), PACKED).repartitionById(n, F.col("part"))
+    order = common_order(keyed, words)
+    asked = keyed.select("rid", "text").mapInArrow(partial(_ask, order=order, percent=percent, words=words, n=n), PACKED).repartitionById(n, F.col("part"))
     answered = asked.mapInArrow(partial(_answer, n=n), PACKED).repartitionById(n, F.col("part"))
     decided = written(answered.mapInArrow(_decide, "rid long, n long, on boolean"), "decided")
     alone = decided.filter("not on").join(keyed.select("rid", "id"), "rid").select("rid", "id", "n", F.col("id").alias("component"))
     rest = written(keyed.join(decided.filter("on").select("rid").hint("merge"), "rid", "left_semi"), "rest")
-    return alone.unionByName(_classes(rest, order, percent, n))
+    return alone.unionByName(_classes(rest, order, percent, words, n))
 
 
-def _classes(keyed: DataFrame, order: Order, percent: int, n: int) -> DataFrame:
-    cover = keyed.select("rid", "text").mapInArrow(partial(_cover, order=order, percent=percent, n=n), PACKED)
+def _classes(keyed: DataFrame, order: Order, percent: int, words: int, n: int) -> DataFrame:
+    cover = keyed.select("rid", "text").mapInArrow(partial(_cover, order=order, percent=percent, words=words, n=n), PACKED)
     met = cover.repartitionById(n, F.col("part")).mapInArrow(partial(_meet, percent=percent, n=n), PACKED).repartitionById(n, F.col("part"))
     met = written(met.mapInArrow(_plain, "kind string, a long, b long"), "cover")
     placed = met.filter("kind = 'placed'").select(F.col("a").alias("rid"), F.col("b").alias("root"))
@@ -444,7 +444,7 @@ def _classes(keyed: DataFrame, order: Order, percent: int, n: int) -> DataFrame:
     heads = every.select(F.col("region").alias("rid"), "region").distinct()
     regions = written(every.unionByName(heads), "regions")
     texts = keyed.join(regions.hint("merge"), "rid", "left")
-    sets = texts.select("rid", "id", "text", "region").mapInArrow(partial(_sets, n=n), "part int, kind string, region long, rid long, id long, n long, rep long, data binary")
+    sets = texts.select("rid", "id", "text", "region").mapInArrow(partial(_sets, words=words, n=n), "part int, kind string, region long, rid long, id long, n long, rep long, data binary")
     joined = written(
         sets.repartitionById(n, F.col("part")).sortWithinPartitions("kind", "region")
         .mapInArrow(partial(_join_regions, percent=percent), "kind string, rid long, id long, n long, rep long, component long"),
@@ -455,12 +455,12 @@ def _classes(keyed: DataFrame, order: Order, percent: int, n: int) -> DataFrame:
     return rest.select("rid", "id", "n", "component").unionByName(members.join(found, "rep").select("rid", "id", "n", "component"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = SIZE) -> DataFrame:
     """The rows of docs whose own id is their class's: one of each class, all columns."""
     from twinplan.llm.common import rows_where
 
     keyed = with_rid(docs, id_col, text_col, rows=True)
-    found = classes(keyed, percent)
+    found = classes(keyed, percent, words)
     first = found.withColumn("key", F.coalesce("component", "rid"))
     return rows_where(keyed, first.groupBy("key").agg(F.min("rid").alias("rid")))
 
