@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(workload.ORACLES))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for table in ("orders", "customer", "lineitem"):
+    for table in ("nation", "orders", "customer", "lineitem"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     expected = db.sql(workload.ORACLES[name])
     got = workload.QUERIES[name](spark, FOLDER)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from twinplan import service
+from twinplan.examples import MODELS
 from twinplan.functions import postgres as P
 from twinplan.operators import compare as C
+from twinplan.sources import corpus
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,3 +115,81 @@ SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS n
 """,
     "window_aggregate": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS so_far FROM orders",
 }
+
+
+# --- the engine's rewrites: Spark runs the candidate, the SQL is the file as it was ---
+
+
+def _models(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"models/{k}.sql", v.encode()) for k, v in sorted(MODELS.items())], "source_path string, content binary")
+
+
+def _candidate(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        candidate, codes = service.candidate_of(MODELS[name].encode())
+        assert codes == ("OK",)
+        return spark.sql(service.render(candidate, lambda call: f"parquet.`{sf_dir}/{call.name}.parquet`"))
+
+    run.__name__ = f"rewritten_{name}"
+    return run
+
+
+def _baseline(name: str) -> str:
+    return service.render(MODELS[name].encode(), lambda call: call.name)
+
+
+REWRITTEN = ("merge_two", "merge_filtered", "narrow_star", "narrow_and_merge", "narrow_chain")
+
+
+def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.findings(_models(spark)).withColumns({"entries": F.array_join("entries", ","), "reason_codes": F.array_join("reason_codes", ",")})
+
+
+def relation_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.relation_calls(_models(spark)).groupBy("kind", "name", "source_name").agg(F.count(F.lit(1)).alias("n_calls"), F.count_distinct("source_path").alias("n_files"))
+
+
+def corpus_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.duplicate_imports(corpus.imports(_models(spark))).withColumn("entries", F.array_join("entries", ","))
+
+
+def determinism_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.determinism(_models(spark)).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered names and types of a table and of a reordered, a renamed and a widened form of it."""
+    base = _table(spark, sf_dir, "nation")
+    forms = {
+        "same": base, "reordered": base.select(*reversed(base.columns)), "renamed": base.withColumnRenamed("n_name", "name"),
+        "widened": base.withColumn("n_regionkey", F.col("n_regionkey").cast("decimal(38,0)")), "fewer": base.drop("n_name"),
+    }
+    return spark.createDataFrame([(k, C.schemas_equal(base.schema, v.schema)) for k, v in forms.items()], "form string, equal boolean")
+
+
+QUERIES |= {f"rewritten_{k}": _candidate(k) for k in REWRITTEN} | {f.__name__: f for f in (scan_findings, relation_calls, corpus_duplicates, determinism_gate, schema_gate)}
+
+ORACLES |= {f"rewritten_{k}": _baseline(k) for k in REWRITTEN} | {
+    "scan_findings": """
+SELECT 'models/' || f || '.sql' AS source_path, u AS upstream, e AS entries, 'needs_compiled_analysis' AS status, c AS reason_codes, CAST(1 AS INTEGER) AS line FROM (VALUES
+  ('cut_without_order', 'orders', 'a,b', 'NEEDS_COMPILED_ANALYSIS'), ('merge_two', 'orders', 'a,b', 'NEEDS_COMPILED_ANALYSIS'),
+  ('merge_filtered', 'customer', 'first,second', 'NEEDS_COMPILED_ANALYSIS'), ('narrow_star', 'lineitem', 'lines', 'UNUSED_IMPORT_COLUMNS'),
+  ('narrow_and_merge', 'orders', 'a,b', 'UNUSED_IMPORT_COLUMNS'), ('narrow_chain', 'orders', 'a', 'UNUSED_IMPORT_COLUMNS'),
+  ('other_filter', 'orders', 'a,b', 'NEEDS_COMPILED_ANALYSIS'), ('sources', 'raw.nation', 'a,b', 'NEEDS_COMPILED_ANALYSIS')) AS t(f, u, e, c)
+""",
+    "relation_calls": """
+SELECT * FROM (VALUES ('ref', 'orders', NULL, CAST(11 AS BIGINT), CAST(7 AS BIGINT)), ('ref', 'customer', NULL, 2, 1), ('ref', 'lineitem', NULL, 1, 1), ('source', 'nation', 'raw', 2, 1))
+  AS t(kind, name, source_name, n_calls, n_files)
+""",
+    "corpus_duplicates": """
+SELECT 'models/' || f || '.sql' AS source_path, u AS upstream, e AS entries FROM (VALUES
+  ('cut_without_order', 'orders', 'a,b'), ('merge_two', 'orders', 'a,b'), ('merge_filtered', 'customer', 'first,second'),
+  ('narrow_and_merge', 'orders', 'a,b'), ('other_filter', 'orders', 'a,b'), ('sources', 'raw.nation', 'a,b')) AS t(f, u, e)
+""",
+    "determinism_gate": """
+SELECT 'models/' || f || '.sql' AS source_path, r = '' AS deterministic, r AS reasons FROM (VALUES
+  ('cut_without_order', 'rows are cut without an order'), ('volatile', 'volatile: random'), ('merge_two', ''), ('merge_filtered', ''), ('narrow_star', ''),
+  ('narrow_and_merge', ''), ('narrow_chain', ''), ('other_filter', ''), ('shown_all', ''), ('sources', '')) AS t(f, r)
+""",
+    "schema_gate": "SELECT * FROM (VALUES ('same', true), ('reordered', false), ('renamed', false), ('widened', false), ('fewer', false)) AS t(form, equal)",
+}
