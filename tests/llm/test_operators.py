@@ -57,6 +57,17 @@ def test_suffixes(docs, rows):
     assert {r["id"]: tuple(r)[1:] for r in suffixes.remove(docs).collect()} == expected
 
 
+def test_stripped_texts(docs, rows):
+    sizes = {r["id"]: (r["n_bytes"], r["n_removed"]) for r in suffixes.remove(docs).collect()}
+    for r in suffixes.strip(docs).collect():
+        before = dict(rows)[r["doc_id"]]
+        n, gone = sizes[r["doc_id"]]
+        assert (r["text"] is None) == (before is None)
+        # a character of two bytes may stay with one of them in a span
+        assert before is None or n - gone <= len(r["text"].encode()) <= n - gone + 2 * before.count("é")
+        assert gone or r["text"] == before
+
+
 def test_recompression(docs, rows):
     first, expected = {}, {}
     split = [(i, WORD.findall(t or "")) for i, t in rows]

@@ -139,18 +139,20 @@ class Bytes:
         return spans_batch(rid[gone], start[gone], start[gone] + self.W, n)
 
     def cut(self, block: Block, spans: list[tuple[np.ndarray, np.ndarray]], how: str) -> pa.RecordBatch:
-        rows, ids = [], block.rows.column("id")
+        rows, rids, ids = [], [], block.rows.column("id")
         for i, (s, e) in enumerate(spans):
             text = block.data[block.offsets[i] : block.offsets[i + 1]]
             if how == "text":
-                rows.append(_without_whole(text, s, e))
+                if len(s):
+                    rids.append(int(block.rows.column("rid")[i].as_py()))
+                    rows.append(_without_whole(text, s, e))
             elif len(s):
                 left = _without(text, s, e)
                 rows.append((len(text), int((e - s).sum()), len(s), hashlib.sha256(left).hexdigest()))
             else:
                 rows.append((len(text), 0, 0, hashlib.sha256(text).hexdigest()))
         if how == "text":
-            return pa.RecordBatch.from_arrays([block.rows.column("rid"), pa.array(rows, pa.string())], ["rid", "text"])
+            return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(rows, pa.string())], ["rid", "text"])
         sizes, removed, n, digest = zip(*rows)
         long = pa.int64()
         return pa.RecordBatch.from_arrays(
@@ -219,10 +221,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit
 def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: Bytes = Bytes()) -> DataFrame:
     """docs with the repeats cut out of the text; a character goes if all its bytes do. A null text stays null."""
     keyed = with_rid(docs, id_col, text_col, rows=True)
-    cut = remove_repeats(keyed, unit, "text", "rid long, text string")
-    new = cut.select("rid", F.col("text").alias("kept"))
-    return keyed.join(new, "rid").select(
-        *[(F.when(F.col("text").isNotNull(), F.col("kept")) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
+    # only texts that change come back, and a row travels with its text once
+    new = remove_repeats(keyed, unit, "text", "rid long, text string").select("rid", F.col("text").alias("kept"))
+    return keyed.select("rid", "row").join(new, "rid", "left").select(
+        *[(F.coalesce("kept", F.col("row")[c].cast("string")) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
     )
 
 
