@@ -395,8 +395,8 @@ def _join_regions(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         label = index.label.tolist()
         best = [least.setdefault(label[w], r) for w, r in zip(which, rows)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(["set"] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([b[1] for b in best], pa.int64())],
-            ["kind", "rid", "id", "n", "rep", "component"],
+            [pa.array(["set"] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([b[1] for b in best], pa.int64()), pa.array([b[0] for b in best], pa.int64())],
+            ["kind", "rid", "id", "n", "rep", "component", "first"],
         )
 
     last = None
@@ -404,7 +404,7 @@ def _join_regions(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         is_set = pa.array([k == "set" for k in batch.column("kind").to_pylist()], pa.bool_())
         settled = batch.filter(pc.invert(is_set))
         if settled.num_rows:
-            yield pa.RecordBatch.from_arrays([settled.column(c) for c in ("kind", "rid", "id", "n", "rep", "id")], ["kind", "rid", "id", "n", "rep", "component"])
+            yield pa.RecordBatch.from_arrays([settled.column(c) for c in ("kind", "rid", "id", "n", "rep", "id", "rid")], ["kind", "rid", "id", "n", "rep", "component", "first"])
         batch = batch.filter(is_set)
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
@@ -418,7 +418,10 @@ def _join_regions(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
 
 
 def classes(keyed: DataFrame, percent: int = PERCENT, words: int = SIZE) -> DataFrame:
-    """For each row of with_rid(): rid, id, n (size of its set), component (the id of the first row it is connected with)."""
+    """For each row of with_rid(): rid, id, n (size of its set), component and first (id and rid of the first row it is connected with).
+
+    Only first names a class: ids may repeat or be null, and are not to be compared with rids.
+    """
     spark = keyed.sparkSession
     keyed = keyed.select("rid", "id", "text")
     n = parts(spark, keyed)
@@ -426,7 +429,7 @@ def classes(keyed: DataFrame, percent: int = PERCENT, words: int = SIZE) -> Data
     asked = keyed.select("rid", "text").mapInArrow(partial(_ask, order=order, percent=percent, words=words, n=n), PACKED).repartitionById(n, F.col("part"))
     answered = asked.mapInArrow(partial(_answer, n=n), PACKED).repartitionById(n, F.col("part"))
     decided = written(answered.mapInArrow(_decide, "rid long, n long, on boolean"), "decided")
-    alone = decided.filter("not on").join(keyed.select("rid", "id"), "rid").select("rid", "id", "n", F.col("id").alias("component"))
+    alone = decided.filter("not on").join(keyed.select("rid", "id"), "rid").select("rid", "id", "n", F.col("id").alias("component"), F.col("rid").alias("first"))
     rest = written(keyed.join(decided.filter("on").select("rid").hint("merge"), "rid", "left_semi"), "rest")
     return alone.unionByName(_classes(rest, order, percent, words, n))
 
@@ -447,22 +450,20 @@ def _classes(keyed: DataFrame, order: Order, percent: int, words: int, n: int) -
     sets = texts.select("rid", "id", "text", "region").mapInArrow(partial(_sets, words=words, n=n), "part int, kind string, region long, rid long, id long, n long, rep long, data binary")
     joined = written(
         sets.repartitionById(n, F.col("part")).sortWithinPartitions("kind", "region")
-        .mapInArrow(partial(_join_regions, percent=percent), "kind string, rid long, id long, n long, rep long, component long"),
+        .mapInArrow(partial(_join_regions, percent=percent), "kind string, rid long, id long, n long, rep long, component long, first long"),
         "joined",
     )
-    members, rest = joined.filter("kind = 'member'").drop("component"), joined.filter("kind != 'member'")
-    found = rest.filter("kind = 'set'").select("rep", "component")
-    return rest.select("rid", "id", "n", "component").unionByName(members.join(found, "rep").select("rid", "id", "n", "component"))
+    members, rest = joined.filter("kind = 'member'").drop("component", "first"), joined.filter("kind != 'member'")
+    found = rest.filter("kind = 'set'").select("rep", "component", "first")
+    return rest.select("rid", "id", "n", "component", "first").unionByName(members.join(found, "rep").select("rid", "id", "n", "component", "first"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = SIZE) -> DataFrame:
-    """The rows of docs whose own id is their class's: one of each class, all columns."""
+    """The first row of each class by rid (id, nulls last, then text), all columns."""
     from twinplan.llm.common import rows_where
 
     keyed = with_rid(docs, id_col, text_col, rows=True)
-    found = classes(keyed, percent, words)
-    first = found.withColumn("key", F.coalesce("component", "rid"))
-    return rows_where(keyed, first.groupBy("key").agg(F.min("rid").alias("rid")))
+    return rows_where(keyed, classes(keyed, percent, words).filter("rid = first"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
