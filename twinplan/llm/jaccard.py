@@ -22,13 +22,15 @@ steps between sizes that a link can span, is one region, and no link leaves it.
 
 In each block of texts one of equal sets stands for all of them, and of the
 documents that share a shingle one is shipped with it; a group of any size thus
-weighs as many rows as there are blocks. Sets are of 64-bit hashes.
+weighs as many rows as there are blocks. A region of more than BOUND rows is
+dealt to several tasks (see _split_regions). Sets are of 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ SIZE, PERCENT = 4, 85
 SAMPLE_DOCS, FREQUENT = 10_000, 300_000
 #: A cell of at most so many sets is compared directly; pivots of a larger one.
 LEAF, PIVOTS = 64, 12
+#: A region of more rows is split over tasks: of a cell, one task indexes about so many sets. Pivots beyond the last are left out.
+BOUND, LAST_PIVOT = 1000, 60
 
 SHARED = (("shingle", "u8"), ("root", "i8"), ("least", "u4"), ("most", "u4"))
 PLACED = (("rid", "i8"), ("region", "i8"))
@@ -417,6 +421,108 @@ def _join_regions(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
         yield solved(last)
 
 
+# --- regions over several tasks ------------------------------------------------------
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Rows sorted by keys: each key with its rows, which are read as they are used."""
+    rows = (
+        row for batch in batches for at in range(0, batch.num_rows, 200)
+        for row in zip(*[batch.slice(at, 200).column(c).to_pylist() for c in [*keys, *columns]])
+    )
+    for key, group in groupby(rows, lambda r: r[: len(keys)]):
+        yield key, (r[len(keys) :] for r in group)
+
+
+def _place(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links among a share of a region's sets and its pivots, and of each set its cell and, as bits, the cells it is routed to."""
+    for (region, _), group in _groups(batches, ["region", "salt"], ["is_set", "rid", "data"]):
+        rows = sorted(group)
+        pivots = sum(not r[0] for r in rows)
+        rids = np.array([r[1] for r in rows], np.int64)
+        index = Region([np.frombuffer(r[2], np.uint64) for r in rows], percent)
+        index.join(np.arange(index.m))
+        least = np.full(index.m, np.iinfo(np.int64).max)
+        np.minimum.at(least, index.label, rids)
+        cell, to = np.zeros(index.m, np.int64), np.ones(index.m, np.int64)
+        if used := min(pivots, LAST_PIVOT):
+            common = np.stack([index.common(x) for x in range(used)])
+            distance = 1 - common / (index.size + index.size[:used, None] - common)
+            cell = distance.argmin(0)
+            window = distance <= distance.min(0) + 2 * (100 - percent) / 100 + 1e-9
+            to = (window << np.arange(used)[:, None]).sum(0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([region] * index.m, pa.int64()), pa.array(rids), pa.array([r[0] for r in rows], pa.bool_()), pa.array(least[index.label]), pa.array(cell), pa.array(to)],
+            ["region", "rid", "is_set", "least", "cell", "to"],
+        )
+
+
+def _compare_strays(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of strays with the sets of a part of a cell, as pairs of labels. The strays follow the sets and are held one at a time."""
+    for _, group in _groups(batches, ["region", "cell", "salt", "is_stray"], ["label", "data"]):
+        if not _[-1]:
+            held = [(label, np.frombuffer(data, np.uint64)) for label, data in group]
+            key, labels = _[:-1], np.array([label for label, _ in held])
+            values, of = np.unique(np.concatenate([x for _, x in held]), return_inverse=True)
+            size = np.array([len(x) for _, x in held])
+            postings = np.repeat(np.arange(len(held)), size)[np.argsort(of, kind="stable")]
+            bounds = np.r_[0, np.cumsum(np.bincount(of))]
+            continue
+        if _[:-1] != key:
+            continue  # no set has this part of the cell
+        found: set[tuple[int, int]] = set()
+        for label, data in group:
+            x = np.frombuffer(data, np.uint64)
+            at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+            at = at[values[at] == x]
+            common = np.bincount(postings[ranges(bounds[at], bounds[at + 1] - bounds[at])], minlength=len(size))
+            hits = (100 * common >= percent * (size + len(x) - common)) & (labels != label)
+            found.update((label, other) for other in np.unique(labels[hits]).tolist())
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(found))], ["a", "b"])
+
+
+def _split_regions(sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """The rows of _join_regions for sets of regions of m rows, more than one task shall hold.
+
+    1. A region's sets are dealt to tasks, and its pivots, a sample, are sent to each. Links found there make labels.
+    2. A link not found yet has a stray at one end: a set whose label is not the region's most frequent.
+    3. Each set goes to its nearest pivot's cell, a cell to several tasks where it is large. Strays go to all tasks of
+       each cell whose pivot is at most twice the link distance farther than their nearest, so they meet all their links.
+    """
+    share = F.col("m") / F.lit(BOUND)
+    dealt = lambda *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    pivots = sets.filter(F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(1 << 30)) < F.lit(PIVOTS * (1 << 30)) / F.col("m"))
+    shares = sets.select("region", F.pmod(F.xxhash64("rid", F.lit(6)), F.ceil(share)).alias("salt"), F.lit(True).alias("is_set"), "rid", "data").unionByName(
+        pivots.select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(share) - 1)).alias("salt"), F.lit(False).alias("is_set"), "rid", "data")
+    )
+    placed = written(
+        shares.repartitionById(n, dealt("region", "salt")).sortWithinPartitions("region", "salt")
+        .mapInArrow(partial(_place, percent=percent), "region long, rid long, is_set boolean, least long, cell long, to long"),
+        "placed",
+    )
+    edges = placed.select(F.col("rid").alias("a"), F.col("least").alias("b"))
+    labels = components(edges)
+    named = written(
+        placed.filter("is_set").join(labels, F.col("rid") == F.col("node"), "left").select("region", "rid", "cell", "to", F.coalesce("component", "rid").alias("label")), "labels"
+    )
+    most = named.groupBy("region", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("region").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
+    cells = named.groupBy("region", "cell").agg(F.ceil(F.count(F.lit(1)) / BOUND).alias("tasks")).groupBy("region").agg(F.collect_list(F.struct("cell", "tasks")).alias("cells"))
+    known = named.join(F.broadcast(most.filter("labels > 1").join(cells, "region")), "region").join(sets.select("rid", "data"), "rid")
+    own = F.filter("cells", lambda c: c["cell"] == F.col("cell"))[0]["tasks"]
+    homes = known.select("region", "cell", F.pmod(F.xxhash64("rid", F.lit(7)), own).alias("salt"), F.lit(False).alias("is_stray"), "label", "data")
+    strays = known.filter("label != most.label").select(
+        "region", "label", "data", F.explode(F.filter("cells", lambda c: F.call_function("shiftright", F.col("to"), c["cell"].cast("int")).bitwiseAND(F.lit(1)) == 1)).alias("c")
+    )
+    strays = strays.select("region", "c.cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c.tasks") - 1)).alias("salt"), F.lit(True).alias("is_stray"), "label", "data")
+    met = homes.unionByName(strays).repartitionById(n, dealt("region", "cell", "salt")).sortWithinPartitions("region", "cell", "salt", "is_stray")
+    more = written(met.mapInArrow(partial(_compare_strays, percent=percent), "a long, b long"), "stray_links")
+    first = components(edges.unionByName(more))
+    solved = sets.join(first, F.col("rid") == F.col("node"), "left").select("rid", "id", "n", F.coalesce("component", "rid").alias("first"))
+    ids = sets.select(F.col("rid").alias("first"), F.col("id").alias("component"))
+    return solved.join(ids, "first").select(F.lit("set").alias("kind"), "rid", "id", "n", F.col("rid").alias("rep"), "component", "first")
+
+
 def classes(keyed: DataFrame, percent: int = PERCENT, words: int = SIZE) -> DataFrame:
     """For each row of with_rid(): rid, id, n (size of its set), component and first (id and rid of the first row it is connected with).
 
@@ -447,12 +553,21 @@ def _classes(keyed: DataFrame, order: Order, percent: int, words: int, n: int) -
     heads = every.select(F.col("region").alias("rid"), "region").distinct()
     regions = written(every.unionByName(heads), "regions")
     texts = keyed.join(regions.hint("merge"), "rid", "left")
-    sets = texts.select("rid", "id", "text", "region").mapInArrow(partial(_sets, words=words, n=n), "part int, kind string, region long, rid long, id long, n long, rep long, data binary")
+    layout = "part int, kind string, region long, rid long, id long, n long, rep long, data binary"
+    sets = texts.select("rid", "id", "text", "region").mapInArrow(partial(_sets, words=words, n=n), layout)
+    large = written(regions.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BOUND), "large")
+    split = None
+    if large.take(1):
+        sets = written(sets, "sets")
+        split = sets.filter("kind = 'set'").join(F.broadcast(large), "region").select("region", "m", "rid", "id", "n", "data")
+        sets = sets.join(F.broadcast(large.select("region", F.lit(True).alias("large"))), "region", "left").filter("kind != 'set' or large is null").drop("large")
     joined = written(
         sets.repartitionById(n, F.col("part")).sortWithinPartitions("kind", "region")
         .mapInArrow(partial(_join_regions, percent=percent), "kind string, rid long, id long, n long, rep long, component long, first long"),
         "joined",
     )
+    if split is not None:
+        joined = joined.unionByName(_split_regions(split, percent, n))
     members, rest = joined.filter("kind = 'member'").drop("component", "first"), joined.filter("kind != 'member'")
     found = rest.filter("kind = 'set'").select("rep", "component", "first")
     return rest.select("rid", "id", "n", "component", "first").unionByName(members.join(found, "rep").select("rid", "id", "n", "component", "first"))
