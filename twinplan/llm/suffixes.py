@@ -10,9 +10,11 @@ only some 2 / (W - K + 2) of all suffixes are sorted. Sampled splitters deal
 them into buckets by their leading bytes; ties of a splitter are dealt on by
 seed, so equal suffixes always share a bucket and no repeat straddles two: at a
 boundary only the two buckets' leading tokens have to be compared, which the
-splitters have done. In a bucket the suffixes are sorted locally; windows whose
-context is not settled as a whole are compared by a multikey quicksort of their
-8-byte tokens, which looks at a next token only where all before it are equal.
+splitters have done. In a bucket contexts are matched by hash: a sort of the
+64-bit seed and context hashes puts equal ones side by side, and most repeats are
+settled so, without a suffix being sorted by its bytes. Only windows of seeds with
+several contexts are compared by a multikey quicksort of their 8-byte tokens,
+which looks at a next token only where all before it are equal.
 A seed with very many contexts is not kept together: each of its windows is
 dealt as a suffix of its own, once a block.
 
