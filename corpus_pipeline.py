@@ -50,7 +50,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: A trained line model, reachability and an optimal partition: not for SQL. tests/llm holds it against brute force.
+#: A trained line model, reachability and an optimal partition: not for SQL. tests/llm/test_pipeline.py holds run() against brute force, without labels.
 ORACLE_SQL: str | None = None
 
 
