@@ -98,5 +98,27 @@ def byte_hashes_2(data: np.ndarray) -> Rolling:
     return Rolling(BYTE_CODES_2[data], POWERS_2)
 
 
-def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
-    return mix(byte_hashes(data).of(words.start, words.end))
+def stretch_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes, however long; each lane is a hash of its own.
+
+    Every 8 bytes are mixed with a key of their place, and these values are added
+    up. No base is raised to powers, so texts that differ by a polynomial with
+    many factors of two, as Thue-Morse words do, are told apart like all others.
+    """
+    size = end - start
+    n = (size + 7) >> 3
+    first = np.cumsum(n) - n
+    which = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(which)) - first[which]
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    left = np.minimum(size[which] - (place << 3), 8).astype(np.uint64)
+    token = eight[start[which] + (place << 3)] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - (left << np.uint64(3))))
+    seed = np.uint64((0x9FB21C651E98DF25 * (lane + 1)) & (1 << 64) - 1)
+    key = mix((np.arange(int(n.max(initial=0))).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) ^ seed)
+    sums = np.r_[np.uint64(0), np.cumsum(mix(token ^ key[place]), dtype=np.uint64)]
+    return mix(sums[first + n] - sums[first] + size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) ^ seed)
+
+
+def word_hashes(data: np.ndarray, words: Words, lane: int = 0) -> np.ndarray:
+    return stretch_hashes(data, words.start, words.end, lane)

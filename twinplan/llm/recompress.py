@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from twinplan.llm.blocks import IS_SPACE, POWERS_WORD, POWERS_WORD_2, Block, byte_hashes_2, word_hashes, words_of
+from twinplan.llm.blocks import IS_SPACE, POWERS_WORD, POWERS_WORD_2, Block, word_hashes, words_of
 from twinplan.llm.common import Rolling, mix, with_rid
 from twinplan.llm.repeats import Piece, Router, packed, ranges, remove_repeats, settle, spans_batch, unpacked
 
@@ -45,6 +45,10 @@ class WordWindows:
     W: int = 50
     own: bool = False
 
+    def __post_init__(self):
+        if not 1 <= self.W <= 127:
+            raise ValueError("a window has 1 to 127 words: a symbol's rank has 7 bits for its length")
+
     def pieces(self, block: Block) -> Iterator[Piece]:
         if block.n > 1 or len(block.data) <= STRETCH:
             yield Piece(block.data, block.offsets, np.arange(block.n), 0)
@@ -96,7 +100,7 @@ class WordWindows:
         count = np.diff(np.r_[head, len(starts)])
         at, a = starts[head], anchor[head]
         return {
-            "seed": mix(name[a] ^ (end - begin)[a].astype(np.uint64)), "ctx": Rolling(symbols, POWERS_WORD_2).of(at, at + count - 1 + W), "lead": name[a],
+            "seed": mix(name[a] ^ (end - begin)[a].astype(np.uint64)), "ctx": Rolling(word_hashes(piece.data, words, 1), POWERS_WORD_2).of(at, at + count - 1 + W), "lead": name[a],
             "doc": piece.row[doc[head]], "start": at - first[doc[head]] + piece.base, "n": count, "at": begin[a] - at,
         }
 
@@ -155,7 +159,7 @@ class WordWindows:
     def reopen(self, block: Block, doc: np.ndarray, r: dict[str, np.ndarray], route: Router, n: int) -> Iterator[pa.RecordBatch]:
         words = words_of(block)
         one = Rolling(word_hashes(block.data, words), POWERS_WORD)
-        two = Rolling(mix(byte_hashes_2(block.data).of(words.start, words.end)), POWERS_WORD_2)
+        two = Rolling(word_hashes(block.data, words, 1), POWERS_WORD_2)
         size = r["n"].astype(np.int64)
         start = ranges(r["start"].astype(np.int64), size)
         at, rid = start + np.repeat(words.first[doc], size), np.repeat(r["rid"], size)
