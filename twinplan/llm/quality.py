@@ -6,13 +6,22 @@ are indicators of binned counts. A document is kept when the base rules pass and
 the words of lines that Viterbi decoding marks as content are at least
 MIN_CONTENT of its words.
 
-Training: at most TRAIN_DOCS labelled documents (those whose id hashes lowest;
-a documented bound), each line taking its document's quality label, full
-log-likelihood with forward and backward passes, Adam. Without labels of both
-kinds the CRF marks every line as content, so the base rules alone decide.
+Training: at most TRAIN_DOCS labelled documents (those whose id and text hash
+lowest) and of each at most TRAIN_LINES consecutive lines (from a place that the
+text's hash tells), both documented bounds of the sample. Labels are of documents,
+states are of lines, so lines get theirs in two steps: a model of single lines is
+fitted to the documents' labels; then a line that it gives to the other state with
+more than SURE takes that state. So boilerplate inside of good documents and
+content inside of bad ones are labelled as such, and the chain learns the
+transitions between them. It is fitted by full log-likelihood with forward and
+backward passes, and Adam. Without labels of both kinds the CRF marks every line
+as content, so the base rules alone decide.
 
 A text without words has n_words 0, fails the base rules and is not kept.
-Repeated ids are rows like others. All work is on whole texts, block by block.
+Repeated ids are rows like others, and each is judged by its text; null ids have
+no label. An empty table gives an empty result. Columns that are not named in the
+call, whatever their names, are carried through by keep() and change nothing. All
+work is on whole texts, block by block, in arrays as large as the longest text.
 """
 
 from __future__ import annotations
@@ -26,10 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from twinplan.llm.blocks import POWERS_WORD, POWERS_WORD_2, Block, byte_hashes, byte_hashes_2, text_blocks, word_hashes, words_of
+from twinplan.llm.blocks import POWERS_WORD, Block, stretch_hashes, text_blocks, word_hashes, words_of
 from twinplan.llm.common import Rolling, first_of_groups, mix
 
-TRAIN_DOCS = 4000
+TRAIN_DOCS, TRAIN_LINES = 4000, 256
+SURE = 0.9
 MIN_CONTENT = 0.5
 MIN_WORDS = 50
 
@@ -89,7 +99,7 @@ def counts_of(block: Block) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray
     full = hi > lo
     start, end, owner, lo, hi = (x[full] for x in (start, end, owner, lo, hi))
 
-    order, new, _ = first_of_groups(owner.astype(np.uint64), byte_hashes(data).of(start, end), byte_hashes_2(data).of(start, end))
+    order, new, _ = first_of_groups(owner.astype(np.uint64), stretch_hashes(data, start, end), stretch_hashes(data, start, end, 1))
     earlier = np.zeros(len(start), bool)
     earlier[order[~new]] = True
     n_dup = np.bincount(owner, earlier, minlength=n).astype(np.int64) if len(owner) else np.zeros(n, np.int64)
@@ -129,8 +139,7 @@ def repeated_words(data: np.ndarray, words) -> np.ndarray:
 
 
 def word_hashes_again(data: np.ndarray, words, at: np.ndarray) -> np.ndarray:
-    h = byte_hashes_2(data)
-    return sum(mix(h.of(words.start[at + k], words.end[at + k])) * np.uint64(2 * k * k + 3) for k in range(3)) if len(at) else np.zeros(0, np.uint64)
+    return sum(mix(stretch_hashes(data, words.start[at + k], words.end[at + k], 1)) * np.uint64(2 * k * k + 3) for k in range(3)) if len(at) else np.zeros(0, np.uint64)
 
 
 def _features(data, words, again, start, end, lo, hi, earlier) -> np.ndarray:
@@ -243,29 +252,38 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches):
         _, lines = counts_of(block)
         cut = np.searchsorted(lines["doc"], np.arange(block.n + 1))
-        flat = np.ascontiguousarray(lines["features"])
-        yield pa.RecordBatch.from_arrays(
-            [block.rows.column("quality"), pa.array([flat[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["quality", "features"]
-        )
+        first = cut[:-1] + np.asarray(block.rows.column("hash")).view(np.uint64) % np.maximum(np.diff(cut) - TRAIN_LINES + 1, 1).astype(np.uint64)
+        first = first.astype(np.int64)
+        flat = lines["features"].astype(np.uint8)
+        features = [flat[a : min(a + TRAIN_LINES, b)].tobytes() for a, b in zip(first, cut[1:])]
+        yield pa.RecordBatch.from_arrays([block.rows.column("quality"), pa.array(features, pa.binary())], ["quality", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS) -> Chain:
-    """Fits the chain on at most `most` labelled documents, chosen by the hash of their id."""
-    chosen = (
-        labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("id"), "id").limit(most)
-    )
+    """Fits the chain on at most `most` labelled documents; an id with labels of both kinds counts as bad."""
+    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("quality"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("id", "text"))
+    # an id may repeat, so rows are chosen and not ids: only their hashes are sorted, and at most `most` of them meet the texts again
+    chosen = slim.select("id", "hash").join(known, "id").groupBy("hash", "id").agg(F.min("quality").alias("quality")).orderBy("hash", "id").limit(most)
     rows = (
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        .join(F.broadcast(chosen), "id").select("text", "quality")
-        .mapInArrow(_line_rows, "quality int, features binary").orderBy("features", "quality").limit(2 * most).collect()
+        slim.join(F.broadcast(chosen), ["id", "hash"]).groupBy("id", "hash").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+        .mapInArrow(_line_rows, "quality int, features binary").orderBy("features", "quality").collect()
     )
     rows = [r for r in rows if r["features"]]
     if {r["quality"] for r in rows} != {0, 1}:
         return Chain()
-    features = [np.frombuffer(r["features"], np.int32).reshape(-1, len(BINS)) for r in rows]
+    features = [np.frombuffer(r["features"], np.uint8).reshape(-1, len(BINS)).astype(np.int32) for r in rows]
     size = [len(f) for f in features]
-    return Chain().fit(np.repeat(np.arange(len(rows)), size), np.concatenate(features), np.repeat([r["quality"] for r in rows], size))
+    doc, features, label = np.repeat(np.arange(len(rows)), size), np.concatenate(features), np.repeat([r["quality"] for r in rows], size)
+    return Chain().fit(doc, features, line_labels(features, label))
+
+
+def line_labels(features: np.ndarray, label: np.ndarray, sure: float = SURE) -> np.ndarray:
+    """The states of lines, from their documents' labels and a model of single lines fitted to these."""
+    single = Chain().fit(np.arange(len(label)), features, label)
+    score = single.emit[features].sum(1)
+    content = 1 / (1 + np.exp(score[:, 0] - score[:, 1]))
+    return np.where(content > sure, 1, np.where(content < 1 - sure, 0, label))
 
 
 _OUT = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_words long, base_failed boolean, kept boolean"
