@@ -16,37 +16,70 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share, with its scheme: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder all executors and the driver share, with its scheme: spark.checkpoint.dir.
+
+    Only where that is unset and all runs in one process, it is a folder of our
+    own; on a cluster other machines would not see that, so it is refused.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file:///tmp/checkpoints"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     full = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
     return re.sub(r"^file:/(?!//)", "file:///", full).rstrip("/")
 
 
+#: The tables that this driver has written and not deleted.
+_WRITTEN: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, its lineage cut, safe from lost executors."""
+    """df as a table in the shared folder: computed once, its lineage cut, safe from lost executors.
+
+    Results are lazy and read such tables, so an operator deletes only those that
+    its result does not need; clean() deletes the rest once results are used.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
     release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    _WRITTEN.append(path)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(df.sparkSession, df.written_to)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes every table of written(). Results of operators that are not used yet cannot be computed afterwards."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN[-1])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if folder in _WRITTEN:
+        _WRITTEN.remove(folder)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs whose plans nothing refers to any more."""
+    """Lets Spark delete the shuffle files of jobs whose plans nothing refers to any more.
+
+    Spark deletes them when the driver's garbage is collected, which by itself may
+    come long after; on full disks that is too late.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -67,7 +100,8 @@ def with_rid(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows
 
     Where the ids are unique and not null, rid is the id. Where ids repeat or
     are null, rid numbers the rows in the order id (nulls last), text (nulls
-    first), so that every later tie is broken the same way on each run.
+    first), so that every later tie is broken the same way on each run. Ids must
+    be numbers that a long holds; Spark refuses others.
     """
     slim = df.select(
         F.col(id_col).cast("long").alias("id"),
@@ -86,14 +120,28 @@ def with_rid(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows
     sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     if not sizes:
         return dealt.select(F.lit(0).cast("long").alias("rid"), *rest)
-    base = np.cumsum([0, *(r["n"] for r in sizes)]).tolist()
-    starts = F.create_map(*[F.lit(x).cast("long") for r, b in zip(sizes, base) for x in (r["part"], b)])
-    return dealt.select((starts[F.col("part").cast("long")] + F.col("at")).alias("rid"), *rest)
+    return dealt.join(running_total(spark, [(r["part"], r["n"]) for r in sizes]), "part").select((F.col("before") + F.col("at")).alias("rid"), *rest)
+
+
+def running_total(spark: SparkSession, sizes: list[tuple[int, int]]) -> DataFrame:
+    """part and before (the total of the parts before it): a row for each partition, which bounds what is broadcast."""
+    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    return F.broadcast(spark.createDataFrame([(part, b) for (part, _), b in zip(sizes, before)], "part int, before long"))
 
 
-def rows_where(keyed: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of with_rid(rows=True) whose rid is in verdict, with their own columns."""
-    return keyed.join(verdict.select("rid"), "rid", "left_semi").select("row.*")
+#: Row numbers that an anti-join may broadcast (8 bytes each); more are joined by a shuffle.
+FEW = 4_000_000
+
+
+def rows_without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of with_rid(rows=True) whose rid is not in dropped, with their own columns.
+
+    Few rows are dropped as a rule, so they go to the texts and not the texts to
+    them; only where they are more than FEW do both meet in a shuffle.
+    """
+    gone = written(dropped.select("rid"), "dropped")
+    gone = F.broadcast(gone) if gone.count() <= FEW else gone.hint("shuffle_hash")
+    return keyed.join(gone, "rid", "left_anti").select("row.*")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

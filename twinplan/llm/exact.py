@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinplan.llm.common import SPACES, rows_where, with_rid, written
+from twinplan.llm.common import SPACES, rows_without, with_rid, written
 
 #: Share of all rows from which on a digest counts as heavy; 1 / SUPPORT counters are kept.
 SUPPORT = 1e-3
@@ -60,7 +60,7 @@ def verdicts(keyed: DataFrame, support: float = SUPPORT) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     keyed = with_rid(docs, id_col, text_col, rows=True)
-    return rows_where(keyed, verdicts(keyed, support).filter("kept"))
+    return rows_without(keyed, verdicts(keyed, support).filter("not kept"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinplan.llm.blocks import POWERS_WORD, Block, text_blocks, word_hashes, words_of
-from twinplan.llm.common import Rolling, first_of_groups, mix, parts, with_rid, written
+from twinplan.llm.common import Rolling, first_of_groups, mix, parts, rows_without, with_rid, written
 from twinplan.llm.components import components
 from twinplan.llm.repeats import PACKED, by_rid, packed, part_of_rid, ranges, unpacked
 
@@ -508,7 +508,7 @@ def _split_regions(sets: DataFrame, percent: int, n: int) -> DataFrame:
     )
     most = named.groupBy("region", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("region").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
     cells = named.groupBy("region", "cell").agg(F.ceil(F.count(F.lit(1)) / BOUND).alias("tasks")).groupBy("region").agg(F.collect_list(F.struct("cell", "tasks")).alias("cells"))
-    known = named.join(F.broadcast(most.filter("labels > 1").join(cells, "region")), "region").join(sets.select("rid", "data"), "rid")
+    known = named.join(most.filter("labels > 1").join(cells, "region"), "region").join(sets.select("rid", "data"), "rid")
     own = F.filter("cells", lambda c: c["cell"] == F.col("cell"))[0]["tasks"]
     homes = known.select("region", "cell", F.pmod(F.xxhash64("rid", F.lit(7)), own).alias("salt"), F.lit(False).alias("is_stray"), "label", "data")
     strays = known.filter("label != most.label").select(
@@ -536,7 +536,7 @@ def classes(keyed: DataFrame, percent: int = PERCENT, words: int = SIZE) -> Data
     answered = asked.mapInArrow(partial(_answer, n=n), PACKED).repartitionById(n, F.col("part"))
     decided = written(answered.mapInArrow(_decide, "rid long, n long, on boolean"), "decided")
     alone = decided.filter("not on").join(keyed.select("rid", "id"), "rid").select("rid", "id", "n", F.col("id").alias("component"), F.col("rid").alias("first"))
-    rest = written(keyed.join(decided.filter("on").select("rid").hint("merge"), "rid", "left_semi"), "rest")
+    rest = written(keyed.join(decided.filter("on").select("rid"), "rid", "left_semi"), "rest")
     return alone.unionByName(_classes(rest, order, percent, words, n))
 
 
@@ -552,15 +552,15 @@ def _classes(keyed: DataFrame, order: Order, percent: int, words: int, n: int) -
     every = inner.unionByName(roots)
     heads = every.select(F.col("region").alias("rid"), "region").distinct()
     regions = written(every.unionByName(heads), "regions")
-    texts = keyed.join(regions.hint("merge"), "rid", "left")
+    texts = keyed.join(regions, "rid", "left")
     layout = "part int, kind string, region long, rid long, id long, n long, rep long, data binary"
     sets = texts.select("rid", "id", "text", "region").mapInArrow(partial(_sets, words=words, n=n), layout)
     large = written(regions.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BOUND), "large")
     split = None
     if large.take(1):
         sets = written(sets, "sets")
-        split = sets.filter("kind = 'set'").join(F.broadcast(large), "region").select("region", "m", "rid", "id", "n", "data")
-        sets = sets.join(F.broadcast(large.select("region", F.lit(True).alias("large"))), "region", "left").filter("kind != 'set' or large is null").drop("large")
+        split = sets.filter("kind = 'set'").join(large, "region").select("region", "m", "rid", "id", "n", "data")
+        sets = sets.join(large.select("region", F.lit(True).alias("large")), "region", "left").filter("kind != 'set' or large is null").drop("large")
     joined = written(
         sets.repartitionById(n, F.col("part")).sortWithinPartitions("kind", "region")
         .mapInArrow(partial(_join_regions, percent=percent), "kind string, rid long, id long, n long, rep long, component long, first long"),
@@ -575,10 +575,8 @@ def _classes(keyed: DataFrame, order: Order, percent: int, words: int, n: int) -
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = SIZE) -> DataFrame:
     """The first row of each class by rid (id, nulls last, then text), all columns."""
-    from twinplan.llm.common import rows_where
-
     keyed = with_rid(docs, id_col, text_col, rows=True)
-    return rows_where(keyed, classes(keyed, percent, words).filter("rid = first"))
+    return rows_without(keyed, classes(keyed, percent, words).filter("rid != first"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
