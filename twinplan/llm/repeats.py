@@ -10,6 +10,8 @@ run; its context is the text from its first window's start to its last one's end
    that a third of the corpus holds is shipped once a block.
 2. Contexts meet by their anchor in buckets. Equal contexts settle all windows of
    the later ones. Where an anchor has several contexts, the earliest of each goes on.
+   Anchors that a sample shows to be hot are dealt by anchor and context before the
+   exchange, and the earliest of each of their contexts goes on.
 3. Those few go back to their texts, their windows are compared one by one.
 4. What was found is cut out of the texts.
 
@@ -33,8 +35,10 @@ from twinplan.llm.common import first_of_groups, merge_spans, parts, written
 
 #: Contexts of one anchor from which on its windows are compared as suffixes of their own.
 HOT = 2000
-#: Documents that the splitters are sampled from, and anchors of each.
+#: Documents that the splitters are sampled from, at least (and a quarter of the partitions), and anchors of each.
 SAMPLE_DOCS, SAMPLE_ANCHORS = 1000, 64
+#: A seed with this share of a partition's fair load, as the sample tells, is dealt by its contexts; it takes LEAST sampled anchors to tell.
+SHARE, LEAST = 0.25, 8
 
 RUN = (("seed", "u8"), ("ctx", "u8"), ("rid", "i8"), ("start", "u4"), ("n", "u2"), ("at", "u2"))
 SPAN = (("rid", "i8"), ("start", "u4"), ("end", "u4"))
@@ -109,15 +113,28 @@ def spans_batch(rid: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) ->
 
 
 class Router:
-    """Ranges of leading tokens, cut at sampled splitters. Where splitters repeat, the ranges between them share their token by seed."""
+    """Ranges of leading tokens, cut at sampled splitters. Where splitters repeat, the ranges between them share their token by seed.
 
-    def __init__(self, cuts: np.ndarray):
-        self.cuts = cuts
+    Hot seeds are those that the sample shows to weigh on a partition. Their
+    records are dealt over all partitions by their context, so equal contexts
+    meet and no task holds all contexts of such a seed.
+    """
+
+    def __init__(self, cuts: np.ndarray, hot: np.ndarray = np.zeros(0, np.uint64)):
+        self.cuts, self.hot = cuts, hot
 
     def part(self, lead: np.ndarray, seed: np.ndarray) -> np.ndarray:
         lo, hi = np.searchsorted(self.cuts, lead, "left"), np.searchsorted(self.cuts, lead, "right")
         return (lo + (seed % (hi - lo + 1).astype(np.uint64)).astype(np.int64)).astype(np.int32)
 
+    def is_hot(self, seed: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.zeros(len(seed), bool)
+        return self.hot[np.minimum(np.searchsorted(self.hot, seed), len(self.hot) - 1)] == seed
+
+    def part_of_context(self, lead: np.ndarray, seed: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
+        return np.where(self.is_hot(seed), (context % np.uint64(n)).astype(np.int32), self.part(lead, seed))
+
 
 def _leads(batches: Iterator[pa.RecordBatch], unit) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches):
@@ -127,19 +144,21 @@ def _leads(batches: Iterator[pa.RecordBatch], unit) -> Iterator[pa.RecordBatch]:
             doc = r["doc"][order]
             head = np.flatnonzero(np.r_[True, np.diff(doc) > 0]) if len(doc) else np.zeros(0, np.int64)
             nth = np.arange(len(doc)) - np.repeat(head, np.diff(np.r_[head, len(doc)]))
-            yield pa.RecordBatch.from_arrays([pa.array(r["lead"][order][nth < SAMPLE_ANCHORS].view(np.int64))], ["lead"])
+            pick = order[nth < SAMPLE_ANCHORS]
+            yield pa.RecordBatch.from_arrays([pa.array(r[c][pick].view(np.int64)) for c in ("lead", "seed")], ["lead", "seed"])
 
 
 def router(keyed: DataFrame, unit, n: int) -> Router:
-    """Splitters from a bounded sample: some SAMPLE_DOCS documents, SAMPLE_ANCHORS leading tokens of each."""
+    """Splitters and hot seeds from a sample that grows with the partitions alone: SAMPLE_ANCHORS leading tokens of each of its documents."""
     total = keyed.count()
-    share = min(1.0, SAMPLE_DOCS / max(total, 1))
+    share = min(1.0, max(SAMPLE_DOCS, n // 4) / max(total, 1))
     few = keyed.filter(F.pmod(F.xxhash64("rid", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    rows = few.mapInArrow(partial(_leads, unit=unit), "lead long").collect()
-    leads = np.sort(np.array([r["lead"] for r in rows], np.int64).view(np.uint64))
+    found = few.mapInArrow(partial(_leads, unit=unit), "lead long, seed long").toArrow()
+    leads, seeds = (np.sort(np.asarray(found.column(c)).view(np.uint64)) for c in ("lead", "seed"))
     if not len(leads):
         return Router(np.zeros(0, np.uint64))
-    return Router(leads[(np.arange(1, n) * len(leads)) // n])
+    seed, count = np.unique(seeds, return_counts=True)
+    return Router(leads[(np.arange(1, n) * len(leads)) // n], seed[count >= max(LEAST, SHARE * len(seeds) / n)])
 
 
 def _ship(batches: Iterator[pa.RecordBatch], unit, route: Router, n: int) -> Iterator[pa.RecordBatch]:
@@ -152,10 +171,10 @@ def _ship(batches: Iterator[pa.RecordBatch], unit, route: Router, n: int) -> Ite
             gone, stay = order[later], order[~later]
             yield spans_batch(rid[gone], start[gone], start[gone] + r["n"][gone] - 1 + unit.W, n)
             columns = {k: r[k][stay] for k in ("seed", "ctx", "start", "n", "at")} | {"rid": rid[stay]}
-            yield packed(route.part(r["lead"][stay], r["seed"][stay]), columns, RUN, "run")
+            yield packed(route.part_of_context(r["lead"][stay], r["seed"][stay], r["ctx"][stay], n), columns, RUN, "run")
 
 
-def _meet(batches: Iterator[pa.RecordBatch], unit, n: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], unit, route: Router, n: int) -> Iterator[pa.RecordBatch]:
     runs: list[bytes] = []
     for batch in batches:
         kinds = batch.column("kind").to_pylist()
@@ -177,9 +196,10 @@ def _meet(batches: Iterator[pa.RecordBatch], unit, n: int) -> Iterator[pa.Record
     edge = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1], True])
     contexts = group[edge[1:] - 1] - group[edge[:-1]] + 1
     many = np.repeat(contexts, np.diff(edge))
-    on = many > 1
+    spread = route.is_hot(seed)  # its other contexts are in other tasks
+    on = (many > 1) | spread
     pick = stay[on]
-    columns = {k: r[k][pick] for k in ("rid", "seed", "start", "n", "at")} | {"hot": (many[on] > HOT).astype(np.uint8)}
+    columns = {k: r[k][pick] for k in ("rid", "seed", "start", "n", "at")} | {"hot": ((many > HOT) | spread)[on].astype(np.uint8)}
     yield packed(by_rid(r["rid"][pick], n), columns, PARTIAL, "partial")
 
 
@@ -251,7 +271,7 @@ def remove_repeats(keyed: DataFrame, unit, how: str, schema: str) -> DataFrame:
     route = router(keyed, unit, n)
     to_parts = lambda df: df.repartitionById(n, F.col("part"))
     shipped = keyed.select("rid", "text").mapInArrow(partial(_ship, unit=unit, route=route, n=n), PACKED)
-    met = written(to_parts(shipped).mapInArrow(partial(_meet, unit=unit, n=n), PACKED), "met")
+    met = written(to_parts(shipped).mapInArrow(partial(_meet, unit=unit, route=route, n=n), PACKED), "met")
     opened = _with_texts(keyed, met.filter("kind = 'partial'"), n).mapInArrow(partial(_reopen, unit=unit, route=route, n=n), PACKED)
     compared = written(to_parts(opened).mapInArrow(partial(_compare, unit=unit, n=n), PACKED), "compared")
     spans = met.filter("kind = 'span'").unionByName(compared)
