@@ -38,7 +38,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinplan.llm.common import fresh_path, parts, with_rid, written
+from twinplan.llm.common import fresh_path, parts, running_total, with_rid, written
 
 REVISIT = 1000
 #: Compressed bytes after which the next file begins. The reader holds one file at a time.
@@ -162,12 +162,10 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: s
         manifest = spark.createDataFrame([], "shard int, name string, temporary string, bytes long, records long, sha256 string")
         manifest.write.parquet(f"{folder}/manifest")
         return manifest
-    before = np.cumsum([0, *(r["size"] for r in totals)]).tolist()
-    offset = F.create_map(*[F.lit(x).cast("long") for r, b in zip(totals, before) for x in (r["part"], b)])
     running = F.sum("size").over(Window.partitionBy("part").orderBy("rid").rowsBetween(Window.unboundedPreceding, -1))
-    file = F.floor((F.coalesce(running, F.lit(0)) + offset[F.col("part").cast("long")]) / F.lit(roll))
+    file = F.floor((F.coalesce(running, F.lit(0)) + F.col("before")) / F.lit(roll))
     # one number for each file to be
-    first = sizes.withColumn("file", file).groupBy("file").agg(F.min("rid").alias("rid")).orderBy("rid").collect()
+    first = sizes.join(running_total(spark, [(r["part"], r["size"]) for r in totals]), "part").withColumn("file", file).groupBy("file").agg(F.min("rid").alias("rid")).orderBy("rid").collect()
     bounds = np.array([r["rid"] for r in first], np.int64)
     dealt = made.select("rid", "member").mapInArrow(partial(_dealt, first=bounds), "shard int, rid long, member binary")
     tasks = min(n, len(bounds))
@@ -193,12 +191,13 @@ def records(content: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes
     at = 0
     while at < len(content):
         z = zlib.decompressobj(31)
-        data = b""
+        chunks = []
         while not z.eof:
             if at >= len(content):
                 raise ValueError("an archive ends inside of a record")
-            data += z.decompress(content[at : at + CHUNK])
+            chunks.append(z.decompress(content[at : at + CHUNK]))
             at = min(at + CHUNK, len(content)) - len(z.unused_data)
+        data = b"".join(chunks)
         head, _, rest = data.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         headers = {k: v for k, _, v in (line.partition(": ") for line in lines[1:])}
