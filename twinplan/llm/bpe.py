@@ -41,6 +41,8 @@ from twinplan.llm.common import written
 VOCABULARY = "word_bpe_49k.json"
 #: The most words that are compiled; it bounds the automaton, some 12 MB.
 LEXICON = 1 << 18
+#: Bytes of the longest word in the lexicon, which bounds what the driver compiles.
+LONGEST = 64
 #: The most words that a worker remembers besides.
 MEMORY = 400_000
 END = "</w>"
@@ -260,7 +262,8 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int = LEXICON) -> list[str]:
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(partial(_count, path=path), "word string, n long")
-    total = written(counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "counts")
+    short = F.octet_length("word") <= LONGEST  # longer ones are merged, not looked up
+    total = written(counted.filter(short).groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "counts")
     # how many words have each count (larger counts in classes): the least count that still leaves at most `most` words
     size = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(16 * F.log2(F.col("n") / 1024)))
     least, held = None, 0
