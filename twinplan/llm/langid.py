@@ -3,21 +3,26 @@
 The pieces are those of a fixed public vocabulary; each language has its own
 piece probabilities, learned by expectation maximisation. The probability of a
 word is the sum over every way to cut it into pieces (the forward algorithm);
-that of a text is the product over its words. A text's words are its runs of
-lower-cased letters, each with a word mark in front; a longer run than LONGEST
-letters is scored in stretches of that many. Characters outside the vocabulary
-cost the same in each language.
+that of a text is the product over its words. A text's words are its maximal
+runs of letters (str.isalpha), lower-cased, each with a word mark in front;
+runs of any length are summed whole. A letter that no piece spells costs the
+same in each language.
+
+Training: expectation maximisation over all word forms of about TRAIN_DOCS
+documents a language, which is the only bound; each round is one job for all
+languages, and the driver gets a number for each language and piece.
 
 Null texts and texts without a letter get `und` with score 0. The score is the
 posterior probability of the language named. Without any training row every
-text is `und`.
+text is `und`. Ties go to the language that sorts first. Repeated rows, null
+ids and other columns, whatever their names, change nothing; an empty table
+gives an empty result. The model goes to the tasks as one broadcast value.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +30,26 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinplan.llm.blocks import BYTE_CODES, POWERS, Block, text_blocks
-from twinplan.llm.common import Powers, Rolling, mix, written
+from twinplan.llm.blocks import Block, stretch_hashes, text_blocks
+from twinplan.llm.common import Powers, Rolling, discard, mix, written
 
 VOCABULARY = "piece_bpe_32k.model"
 #: About this many training documents a language, chosen by the hash of their id.
 TRAIN_DOCS = 400
-#: The most frequent word forms of a language that training looks at.
-TRAIN_WORDS = 40_000
-LONGEST, LONGEST_PIECE = 32, 16
 MARK = "▁"
 ROUNDS, UNKNOWN = 4, 1e-7
+#: Words are summed in groups of so many letters times languages; a longer word is a group of its own, taken in stretches of that many.
+GROUP = 1 << 20
+#: A forward sum below SMALL is scaled up by 1 / SMALL, and its logarithm noted.
+SMALL = 1e-150
 
-_LETTER = re.compile(r"[^\W\d_]")
 _POWERS_CHAR = Powers(71)
-_IS_LETTER = np.zeros(256, bool)
-_IS_LETTER[97:123] = True
-_IS_LETTER[128:] = True
+
+
+@cache
+def _letters() -> np.ndarray:
+    """For each code point: whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def pieces(path: str) -> list[str]:
@@ -50,7 +58,7 @@ def pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     every = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    good = (p for p in every if p == p.lower() and len(p) <= LONGEST_PIECE and all(c.isalpha() for c in p.removeprefix(MARK)))
+    good = (p for p in every if p == p.lower() and all(c.isalpha() for c in p.removeprefix(MARK)))
     return sorted(p for p in good if p)
 
 
@@ -60,11 +68,15 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lattice:
-    """All cuts of some words into pieces: an edge for each piece that fits, grouped by where it ends and how long it is."""
+    """All cuts of some words into pieces: an edge for each piece that fits, grouped by where it ends and how long it is.
 
-    def __init__(self, words: list[str], index: dict[int, tuple[np.ndarray, np.ndarray]], unknown: int):
+    before: so many letters of each word stand before the sums begin (their pieces end in an earlier stretch).
+    """
+
+    def __init__(self, words: list[str], index: dict[int, tuple[np.ndarray, np.ndarray]], unknown: int, before: int = 0):
         symbols, first = _codes(words)
-        self.size = np.diff(first)
+        self.size, self.before = np.diff(first), before
+        self.longest = max(index, default=1)
         self.n, self.edges = len(words), []
         roll = Rolling(symbols, _POWERS_CHAR)
         at = np.arange(len(symbols))
@@ -72,12 +84,12 @@ class Lattice:
         place = at - first[word]
         left = self.size[word] - place
         found = []
-        for length in range(1, LONGEST_PIECE + 1):
-            fits = at[left >= length]
+        for length in sorted({1, *index}):
+            fits = at[(left >= length) & (place + length > before)]
             if not len(fits):
-                break
+                continue
             piece = np.full(len(fits), unknown if length == 1 else -1, np.int32)
-            if length in index and len(fits):
+            if length in index:
                 hashes, ids = index[length]
                 h = roll.of(fits, fits + length)
                 k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
@@ -88,35 +100,95 @@ class Lattice:
             found.append((place[fits] + length, np.full(len(fits), length), word[fits], piece))
         if found:
             end, length, word, piece = (np.concatenate(x) for x in zip(*found))
-            key = end * 64 + length
+            key = end * (self.longest + 1) + length
             order = np.argsort(key, kind="stable")
             cut = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0, True])
             self.edges = [(int(end[o[0]]), int(length[o[0]]), word[o], piece[o]) for o in (order[a:b] for a, b in zip(cut, cut[1:]))]
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[position, word, language]."""
+    def forward(self, p: np.ndarray, start: np.ndarray | None = None, log: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """alpha[position, word, language], and the logarithm of what each is to be multiplied with.
+
+        start: the sums of the positions up to `before`, all to be multiplied by exp(log).
+        """
         alpha = np.zeros((int(self.size.max(initial=0)) + 1, self.n, p.shape[1]))
-        alpha[0] = 1
+        lacks, now, least = np.zeros_like(alpha), self.before, np.log(p.min(initial=1.0))
+        alpha[: now + 1] = 0 if start is None else start
+        if start is None:
+            alpha[0] = 1
+        lacks[: now + 1] = log
+        scale = np.zeros(alpha.shape[1:]) + log
+
+        def rescale(at: int) -> None:
+            if start is None and at * least > np.log(SMALL):
+                return
+            w, k = np.nonzero((alpha[at] < SMALL) & (alpha[at] > 0))
+            if len(w):
+                lo = max(0, at - self.longest + 1)
+                alpha[lo : at + 1, w, k] /= SMALL
+                scale[w, k] += np.log(SMALL)
+                lacks[lo : at + 1, w, k] += np.log(SMALL)
+
         for end, length, word, piece in self.edges:
+            if end != now:
+                rescale(now)
+                now = end
+                lacks[now] = scale
             alpha[end, word] += alpha[end - length, word] * p[piece]
-        return alpha
+        rescale(now)
+        return alpha, lacks
 
     def total(self, p: np.ndarray) -> np.ndarray:
-        return np.log(np.maximum(self.forward(p)[self.size, np.arange(self.n)], 1e-300))
+        alpha, lacks = self.forward(p)
+        each = np.arange(self.n)
+        return np.log(np.maximum(alpha[self.size, each], 1e-300)) + lacks[self.size, each]
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, for one language."""
-        alpha = self.forward(p)[:, :, 0]
-        beta = np.zeros_like(alpha)
-        beta[self.size, np.arange(self.n)] = weight / np.maximum(alpha[self.size, np.arange(self.n)], 1e-300)
+        alpha, lacks = (x[:, :, 0] for x in self.forward(p))
+        each = np.arange(self.n)
+        beta = np.zeros_like(alpha)  # scaled so that alpha * beta is the share of a word's weight that passes a position
+        beta[self.size, each] = weight / np.maximum(alpha[self.size, each], 1e-300)
         seen = np.zeros(len(p))
         for end, length, word, piece in reversed(self.edges):
-            x = beta[end, word] * p[piece, 0]
+            x = beta[end, word] * p[piece, 0] * np.exp(lacks[end - length, word] - lacks[end, word])
             beta[end - length, word] += x
             seen += np.bincount(piece, alpha[end - length, word] * x, minlength=len(p))
         return seen
 
 
+def totals(words: list[str], index: dict[int, tuple[np.ndarray, np.ndarray]], unknown: int, p: np.ndarray) -> np.ndarray:
+    """The logarithm of each word's sum over all its cuts, a column for each language, in bounded memory."""
+    out, room = np.zeros((len(words), p.shape[1])), max(1, GROUP // max(1, p.shape[1]))
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    i = 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and (j - i + 1) * (len(words[order[j]]) + 1) <= room:
+            j += 1
+        some = order[i:j]
+        if len(words[some[0]]) > room:
+            out[some[0]] = _total_of_long(words[some[0]], index, unknown, p, room)
+        else:
+            out[some] = Lattice([words[k] for k in some], index, unknown).total(p)
+        i = j
+    return out
+
+
+def _total_of_long(word: str, index, unknown: int, p: np.ndarray, room: int) -> np.ndarray:
+    """The same for one word by stretches: each begins with the sums of the last positions of the one before."""
+    back, start, log, at = max(index, default=1), None, 0.0, 0
+    room = max(room, back)
+    while True:
+        before = min(back, at)
+        part = Lattice([word[at - before : at + room]], index, unknown, before)
+        alpha, lacks = part.forward(p, start, log)
+        at += room
+        last = int(part.size[0])
+        if at >= len(word):
+            return np.log(np.maximum(alpha[last, 0], 1e-300)) + lacks[last, 0]
+        start, log = alpha[last - min(back, last) : last + 1], lacks[last]
+
+
 class Model:
     def __init__(self, langs: list[str], vocabulary: list[str], p: np.ndarray):
         self.langs, self.p, self.unknown = langs, p, len(vocabulary)
@@ -136,7 +208,7 @@ class Model:
         new[inside] = self._known[at[inside]] != hashes[inside]
         if new.any():
             fresh = np.flatnonzero(new)
-            rows = np.concatenate([Lattice([MARK + spell(i) for i in fresh[k : k + 20_000]], self.index, self.unknown).total(self.p) for k in range(0, len(fresh), 20_000)])
+            rows = totals([MARK + spell(i) for i in fresh], self.index, self.unknown, self.p)
             known = np.concatenate([self._known, hashes[fresh]])
             order = np.argsort(known)
             self._known, self._rows = known[order], np.concatenate([self._rows, rows])[order]
@@ -157,38 +229,34 @@ def _index(vocabulary: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def letter_runs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Start, end and text of each run of letters, lower-cased, in stretches of LONGEST letters at most; whether each text has a letter."""
+    """Start, end and text of each run of letters of the lower-cased texts; whether each text has a letter; and those texts."""
     bounds, data = block.offsets.tolist(), block.data.tobytes()
-    texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])]
-    has = np.array([_LETTER.search(t) is not None for t in texts], bool)
-    low = [t.lower().encode("utf-8", "replace") for t in texts]
+    low = [data[a:b].decode("utf-8", "replace").lower().encode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])]
     joined = b" ".join(low) + b" "
     data = np.frombuffer(joined, np.uint8)
-    inside = _IS_LETTER[data]
+    inside = (data >= 97) & (data <= 122)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        more = 1 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+        code = data[lead].astype(np.int64) & (0x3F >> more)
+        for k in (1, 2, 3):
+            on = more >= k
+            code[on] = code[on] << 6 | data[lead[on] + k] & 0x3F
+        on = _letters()[code]
+        inside[lead[on]] = True
+        for k in (1, 2, 3):
+            inside[lead[on & (more >= k)] + k] = True
     edge = np.flatnonzero(np.diff(np.r_[False, inside].view(np.int8)))
     start, end = edge[::2], edge[1::2]
-    if len(start) and (end - start).max() > LONGEST:
-        start, end = _stretches(data, start, end)
     doc = np.searchsorted(np.cumsum([0, *(len(t) + 1 for t in low)]), start, "right") - 1
+    has = np.zeros(block.n, bool)
+    has[doc] = True
     return start, end, doc, has, joined
 
 
-def _stretches(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    heads = np.flatnonzero((data & 0xC0) != 0x80)
-    a, b = np.searchsorted(heads, start), np.searchsorted(heads, end)
-    n = -(-(b - a) // LONGEST)
-    run = np.repeat(np.arange(len(start)), n)
-    k = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-    lo = a[run] + k * LONGEST
-    hi = np.minimum(lo + LONGEST, b[run])
-    return heads[lo], np.where(hi == b[run], end[run], heads[np.minimum(hi, len(heads) - 1)])
-
-
 def _runs_of_block(block: Block):
     start, end, doc, has, joined = letter_runs(block)
-    data = np.frombuffer(joined, np.uint8)
-    h = Rolling(BYTE_CODES[data], POWERS).of(start, end)
-    form, first, which = np.unique(h, return_index=True, return_inverse=True)
+    form, first, which = np.unique(stretch_hashes(np.frombuffer(joined, np.uint8), start, end), return_index=True, return_inverse=True)
     return form, lambda i: joined[start[first[i]] : end[first[i]]].decode("utf-8", "replace"), which, doc, has
 
 
@@ -208,37 +276,55 @@ def remainder(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5
 
 
-def train(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          most: int = TRAIN_DOCS, most_words: int = TRAIN_WORDS) -> Model:
-    """Learns from rows whose remainder is not 0: about `most` documents and `most_words` word forms a language."""
-    rows = docs.filter((remainder(id_col) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    names = sorted(counts)
+def _expected(batches: Iterator[pa.RecordBatch], p: dict[str, np.ndarray], index, unknown: int) -> Iterator[pa.RecordBatch]:
+    """How often the pieces are used in a task's word forms: a row for each language."""
+    seen: dict[str, np.ndarray] = {}
+    for batch in batches:
+        lang = np.array(batch.column("lang").to_pylist(), object)
+        words, weight = [MARK + w for w in batch.column("word").to_pylist()], np.asarray(batch.column("n")).astype(float)
+        for name in sorted(set(lang)):
+            held = []
+            own = sorted(np.flatnonzero(lang == name).tolist(), key=lambda i: len(words[i]))
+            for k, i in enumerate(own):
+                held.append(i)
+                if len(held) * (len(words[i]) + 1) > GROUP // 4 or k + 1 == len(own):
+                    seen[name] = seen.get(name, 0) + Lattice([words[j] for j in held], index, unknown).expected(p[name], weight[held])
+                    held = []
+    for name, n in seen.items():
+        at = np.flatnonzero(n[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "piece", "n"])
+
+
+def train(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> Model:
+    """Learns from rows whose remainder is not 0: all word forms of about `most` documents a language.
+
+    Documents are chosen by a hash of id and text, so an id that many rows share does not bring them all.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.filter((remainder("id") != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    spread = F.pmod(F.xxhash64("id", "text", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    chosen = rows.join(counts, "lang").filter(spread < F.lit(float(most)) / F.col("n")).select("text", "lang")
+    forms = written(chosen.mapInArrow(_count_rows, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "forms")
+    names = sorted(r["lang"] for r in forms.select("lang").distinct().collect())
     if not names:
         return Model([], [], np.zeros((1, 0)))
-    share = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, most / counts[k]))])
-    spread = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    forms = (
-        rows.filter(spread < share[F.col(lang_col)])
-        .select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-        .mapInArrow(_count_rows, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    )
     every = pieces(vocabulary or public_tokenizers.path(VOCABULARY))
     index = _index(every)
-    forms = written(forms, "forms")
-    columns = [forms.filter(F.col("lang") == n).orderBy(F.desc("n"), "word").limit(most_words).collect() for n in names]
-    out = []
-    for found in columns:
-        p = np.full((len(every) + 1, 1), 1.0 / len(every))
-        p[-1] = UNKNOWN
-        if found:
-            weight = np.array([float(r["n"]) for r in found])
-            lattice = Lattice([MARK + r["word"] for r in found], index, len(every))
-            for _ in range(ROUNDS):
-                seen = lattice.expected(p, weight)[:-1] + 0.05
-                p[:-1, 0] = seen / seen.sum()
-        out.append(p)
-    return Model(names, every, np.hstack(out))
+    p = {n: np.r_[np.full(len(every), 1.0 / len(every)), UNKNOWN][:, None] for n in names}
+    for _ in range(ROUNDS):
+        found = (
+            forms.mapInArrow(partial(_expected, p=p, index=index, unknown=len(every)), "lang string, piece int, n double")
+            .groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+        )
+        lang, piece, n = np.array(found.column("lang").to_pylist(), object), np.asarray(found.column("piece")), np.asarray(found.column("n"))
+        for name in names:
+            seen = np.full(len(every), 0.05)
+            on = lang == name
+            seen[piece[on]] += n[on]
+            p[name][:-1, 0] = seen / seen.sum()
+    discard(forms)
+    return Model(names, every, np.hstack([p[n] for n in names]))
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
