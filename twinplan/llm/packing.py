@@ -1,16 +1,21 @@
 """Optimal length buckets and token-budget batches.
 
 A text's length is its number of words (runs without space, tab, LF, VT, FF, CR;
-null has none). The global histogram of lengths goes to the driver as at most
-EXACT + STEPS * log2(longest / EXACT) classes: lengths up to EXACT are their own
-class, longer ones share one with lengths up to 1 / STEPS greater. Dynamic
-programming over it chooses at most BUCKETS upper edges that minimise the total
-padding; the recurrence is a lower envelope of lines, so a bucket costs one pass.
+null has none). The global histogram goes to the driver: a row for each length
+that occurs, so it has at most as many rows as the longest text has words, and
+no more with more documents of the same lengths. Dynamic programming over it
+chooses the BUCKETS upper edges, fewer where fewer lengths occur, that minimise
+the total padding; the recurrence is a lower envelope of lines, so a bucket
+costs one pass. Of equally good edges any may be chosen, the same on each run.
 
 In a bucket of edge e a batch takes max(1, BUDGET // e) texts. A bucket is cut by
 a hash of the row into shards of some SHARD rows; batches form inside each shard
 by position, so no task holds a whole bucket, and a shard's last batch may be
-short. Texts without a word are in no batch: bucket_len 0, batch_id null.
+short. Texts without a word are in no batch: bucket_len 0, batch_id null. A text
+longer than the budget is a batch of its own.
+
+Repeated rows and null ids are rows like others (see with_rid); an empty table
+gives an empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +31,6 @@ from twinplan.llm.blocks import text_blocks, words_of
 from twinplan.llm.common import with_rid, written
 
 BUCKETS, BUDGET, SHARD = 16, 1 << 16, 1 << 14
-EXACT, STEPS = 4096, 256
 
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,12 +39,6 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([block.rows.column("rid"), block.rows.column("id"), pa.array(n.astype(np.int64))], ["rid", "id", "n_tokens"])
 
 
-def class_edge(n: F.Column) -> F.Column:
-    """The greatest length of n's class."""
-    step = F.greatest(F.lit(1), F.pow(2, F.floor(F.log2(F.greatest(n, F.lit(EXACT)) / float(STEPS))))).cast("long")
-    return F.when(n <= EXACT, n).otherwise((F.floor((n + step - 1) / step) * step).cast("long"))
-
-
 def best_edges(edge: list[int], count: list[int], most: int) -> list[int]:
     """Upper edges of at most `most` buckets with the least total of edge times count; edge is ascending."""
     m = len(edge)
@@ -88,9 +86,11 @@ def pack(keyed: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard:
     """For each row of with_rid(): rid, id, n_tokens, bucket_len, batch_id, place (in the batch, from 0), padding."""
     lengths = written(keyed.select("rid", "id", "text").mapInArrow(_lengths, "rid long, id long, n_tokens long"), "lengths")
     full = lengths.filter("n_tokens > 0")
-    histogram = full.groupBy(class_edge(F.col("n_tokens")).alias("edge")).agg(F.count(F.lit(1)).alias("n")).orderBy("edge").collect()
-    edges = best_edges([r["edge"] for r in histogram], [r["n"] for r in histogram], buckets)
-    rows = {e: sum(r["n"] for r in histogram if lo < r["edge"] <= e) for lo, e in zip([0, *edges], edges)}
+    histogram = full.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("n_tokens")
+    length, count = (histogram.column(c).to_pylist() for c in ("n_tokens", "n"))
+    edges = best_edges(length, count, buckets)
+    upto = np.cumsum([0, *count])[np.searchsorted(length, [0, *edges], "right")].tolist()
+    rows = {e: b - a for e, a, b in zip(edges, upto, upto[1:])}
     bucket = F.lit(0).cast("long")
     for e in reversed(edges):
         bucket = F.when(F.col("n_tokens") <= e, F.lit(e).cast("long")).otherwise(bucket)
