@@ -216,3 +216,26 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit
 
 def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnsRenamed({"id": "doc_id", "kept": "kept_sha256"})
+
+
+ORACLE_SQL = r"""
+WITH t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS words FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(len(words))) AS i, unnest(words) AS word FROM t
+), windows AS (
+  SELECT doc_id, i, CASE WHEN count(*) OVER ahead = 50 THEN md5(string_agg(word, ' ') OVER ahead) END AS k FROM w
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), firsts AS (
+  SELECT k, min(doc_id) AS doc_id FROM windows WHERE k IS NOT NULL GROUP BY k
+), starts AS (
+  SELECT v.doc_id, v.i, coalesce(f.doc_id < v.doc_id, false) AS later FROM windows v LEFT JOIN firsts f ON f.k = v.k
+), gone AS (
+  SELECT doc_id, i, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM starts
+), kept AS (
+  SELECT w.doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY w.i) FILTER (NOT gone) AS text
+  FROM w JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id
+)
+SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""

@@ -19,5 +19,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc": warc.ORACLE_SQL,
+    "op3_suffix_dedup": suffixes.ORACLE_SQL,
+    "op5_recompression": recompress.ORACLE_SQL,
+    "op6_jaccard": jaccard.ORACLE_SQL,
+    "op9_line_dedup": lines.ORACLE_SQL,
     "op10_exact_dedup": exact.ORACLE_SQL,
 }

@@ -232,3 +232,27 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+
+
+ORACLE_SQL = r"""
+WITH t AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS data FROM documents
+), b AS (
+  SELECT doc_id, unnest(range(octet_length(data))) AS i, data, octet_length(data) AS n FROM t
+), windows AS (
+  SELECT doc_id, i, CASE WHEN i + 100 <= n THEN md5_number(hex(array_slice(data, i + 1, i + 100))) END AS k, hex(array_slice(data, i + 1, i + 1)) AS byte FROM b
+), firsts AS (
+  SELECT k, min(struct_pack(d := doc_id, i := i)) AS place FROM windows WHERE k IS NOT NULL GROUP BY k
+), starts AS (
+  SELECT v.doc_id, v.i, v.byte, coalesce(f.place <> struct_pack(d := v.doc_id, i := v.i), false) AS later FROM windows v LEFT JOIN firsts f ON f.k = v.k
+), gone AS (
+  SELECT doc_id, i, byte, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM starts
+), spans AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM gone
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n, count(*) FILTER (head) AS spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS bytes FROM spans GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(octet_length(data) AS BIGINT) AS n_bytes, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k.bytes, ''))) AS kept_sha256
+FROM t LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
