@@ -121,7 +121,7 @@ class Bytes:
             text = block.data[ranges(at[o], size[o] + self.W - 1)]
             rows.append(rid[o].astype("i8").tobytes() + start[o].astype("u4").tobytes() + size[o].astype("u2").tobytes() + text.tobytes() + len(o).to_bytes(8, "little"))
             ids.append(int(part[o[0]]))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(["window"] * len(ids)), pa.array(rows, pa.binary())], ["part", "kind", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(["window"] * len(ids), pa.string()), pa.array(rows, pa.binary())], ["part", "kind", "data"])
 
     def compare(self, held: list[bytes], n: int) -> pa.RecordBatch:
         rid, start, size, texts = [], [], [], []
