@@ -15,7 +15,7 @@ import pyarrow as pa
 from twinplan.llm.common import Powers, Rolling, mix
 
 #: Bytes of text that are worked on at once; the arrays beside them take some fifty times as much.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -36,7 +36,7 @@ from twinplan.llm.repeats import Piece, Router, packed, ranges, remove_repeats,
 ROUNDS = 4
 #: Bits of a rank for the place in the block: more symbols than a stretch can have.
 BITS = 24
-STRETCH = 4 << 20
+STRETCH = 1 << 20
 WINDOW = (("one", "u8"), ("two", "u8"), ("rid", "i8"), ("start", "u4"))
 
 

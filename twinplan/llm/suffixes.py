@@ -38,7 +38,7 @@ from twinplan.llm.common import merge_spans, with_rid
 from twinplan.llm.repeats import Piece, Router, packed, ranges, remove_repeats, settle, spans_batch
 
 #: Bytes of a long text that are worked on at once.
-STRETCH = 4 << 20
+STRETCH = 1 << 20
 #: Bits of a key for the place in the block: more than a stretch has bytes.
 BITS = 24
 
