@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 
 from twinplan import config as settings
 from twinplan import report, service
-from twinplan.functions.identifiers import VERIFIES, Refused, dialect_fold
+from twinplan.functions.identifiers import VERIFIES, Refused, dialect_fold, resolve_dialect
+from twinplan.sources import manifest, workspace
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -25,8 +26,13 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--fail-on", choices=settings.FAIL_ON)
         if name in ("check", "fix"):
             c.add_argument("--relation-prefix", help="what stands before a model's name in the catalog, as in `db.`")
+            c.add_argument("--manifest", help="resolves calls; its dialect must agree with the others named")
+            c.add_argument("--profiles-dir", help="where profiles.yml lies; the project's folder unless given")
+            c.add_argument("--target")
         if name == "check":
             c.add_argument("--select")
+            c.add_argument("--scratch-schema", help="compares through views made there, and dropped")
+            c.add_argument("--ledger")
         if name == "fix":
             c.add_argument("model")
             c.add_argument("--dry-run", action="store_true")
@@ -36,14 +42,24 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
+def dialect_of(c: settings.Config, found: dict | None, given: dict) -> str:
+    """What the settings, the manifest and the profile's target name; they must agree, and Spark must be able to run it. Spark's own where none names any."""
+    named = found.get("metadata", {}).get("adapter_type") if found else None
+    profile = workspace.profile_dialect(given["profiles_dir"] or c.project_dir, workspace.project_profile(c.project_dir), given["target"])
+    every = [x for x in (c.dialect, named, profile) if x]
+    dialect = resolve_dialect(*every) if every else "spark"
+    if dialect not in VERIFIES:
+        raise Refused("UNSUPPORTED_ADAPTER", f"{dialect} can be scanned, not checked")
+    return dialect
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     given = vars(_parser().parse_args(argv))
     try:
         c = settings.load(given)
-        rule = dialect_fold(c.dialect)
         spark = spark or SparkSession.builder.getOrCreate()
         if given["command"] == "scan":
-            rows = service.scan(spark, c.project_dir, rule).collect()
+            rows = service.scan(spark, c.project_dir, dialect_fold(c.dialect or "spark")).collect()
             shown = {"json": lambda: report.scan_json(c.project_dir, rows) + "\n", "github": lambda: report.scan_annotations(rows), "text": lambda: report.scan_text(rows)}
             sys.stdout.write(shown[c.format]())
             return 2 if rows and c.fail_on == "finding" else 0
@@ -51,14 +67,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             done = service.cleanup(spark, c.scratch_schema or "", given["run_id"])
             print(json.dumps(done))
             return 0 if done["complete"] else 1
-        if c.dialect not in VERIFIES:
-            raise Refused("UNSUPPORTED_ADAPTER", f"{c.dialect} can be scanned, not checked")
+        found = manifest.load(given["manifest"]) if given["manifest"] else None
+        dialect = dialect_of(c, found, given)
         resolve = lambda call: f"{c.relation_prefix}{f'{call.source_name}_' if call.source_name else ''}{call.name}"
         if given["command"] == "check":
-            found = service.check(spark, c.project_dir, resolve, rule, given["select"])
-            sys.stdout.write(report.check_json(c.project_dir, found) + "\n" if c.format == "json" else report.check_text(found))
-            return report.exit_code(found, c.fail_on)
-        receipt = service.fix(spark, c.project_dir, given["model"], resolve, rule, given["dry_run"])
+            ledger = workspace.Ledger(given["ledger"]) if given["ledger"] else None
+            views = service.Views(spark, service.scratch_schema(c.scratch_schema), ledger) if c.scratch_schema else None
+            receipts = service.check(spark, c.project_dir, resolve, dialect, given["select"], found, views)
+            sys.stdout.write(report.check_json(c.project_dir, receipts) + "\n" if c.format == "json" else report.check_text(receipts))
+            return report.exit_code(receipts, c.fail_on)
+        receipt = service.fix(spark, c.project_dir, given["model"], resolve, dialect, given["dry_run"], found)
         sys.stdout.write(report.check_json(c.project_dir, [receipt], "fix") + "\n" if c.format == "json" else report.check_text([receipt]))
         return 0 if receipt.fixable else {"different": 3, "not_run": 0}.get(receipt.status, 4)
     except Refused as e:

@@ -15,7 +15,7 @@ FORMATS, FAIL_ON = ("text", "json", "github"), ("never", "finding", "fixable", "
 @dataclass(frozen=True)
 class Config:
     project_dir: str = "."
-    dialect: str = "spark"
+    dialect: str | None = None
     scratch_schema: str | None = None
     relation_prefix: str = ""
     fail_on: str = "never"

@@ -23,8 +23,8 @@ FOLDS = {
     "exasol": "upper",
     "clickhouse": "none",
 }
-#: Dialects in which this package can prove a rewrite, as Spark runs them.
-VERIFIES = ("spark", "databricks")
+#: Dialects in which this package can prove a rewrite: Spark runs them, PostgreSQL's after translation.
+VERIFIES = ("spark", "databricks", "postgres")
 
 
 class Refused(Exception):

@@ -165,7 +165,7 @@ class Token:
 
 
 _TOKEN = re.compile(
-    r"""(?P<space>\s+)|(?P<comment>--[^\r\n]*|/\*.*?(?:\*/|\Z))|(?P<string>'(?:[^']|'')*')|(?P<quoted>"(?:[^"]|"")*"|`(?:[^`]|``)*`)"""
+    r"""(?P<space>\s+)|(?P<comment>--[^\r\n]*|/\*.*?(?:\*/|\Z))|(?P<string>[eE]'(?:[^'\\]|\\.|'')*'|'(?:[^']|'')*'|\$(?P<mark>[A-Za-z_]*)\$.*?\$(?P=mark)\$)|(?P<quoted>"(?:[^"]|"")*"|`(?:[^`]|``)*`)"""
     r"""|(?P<number>\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|\.\d+)|(?P<word>[A-Za-z_\u0080-￿][\w$\u0080-￿]*)|(?P<punct>::|\|\||<>|<=|>=|!=|.)""",
     re.S,
 )
@@ -173,7 +173,7 @@ _TOKEN = re.compile(
 
 def tokenize(text: str) -> tuple[Token, ...]:
     """Tokens that cover the text without gaps."""
-    return tuple(Token(m.lastgroup, m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text))
+    return tuple(Token("string" if m.lastgroup == "mark" else m.lastgroup, m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text))
 
 
 def plain(tokens: tuple[Token, ...] | list[Token]) -> list[Token]:

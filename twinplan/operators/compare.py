@@ -6,9 +6,12 @@ types are refused before any row is read.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +36,14 @@ class Equality:
         if self.baseline_rows - self.baseline_only_occurrences != self.candidate_rows - self.candidate_only_occurrences:
             raise ValueError("the counts contradict one another")
 
+    @classmethod
+    def of_row(cls, row) -> Equality:
+        """The counts of one row of COUNTS: neither more nor fewer, and whole numbers all."""
+        found = row.asDict()
+        if set(found) != set(COUNTS) or any(type(found[c]) is not int for c in COUNTS):
+            raise ValueError(f"not a row of {', '.join(COUNTS)}")
+        return cls(True, *(found[c] for c in COUNTS))
+
     @property
     def status(self) -> str:
         same = self.schema_equal and not self.baseline_only_occurrences and not self.candidate_only_occurrences
@@ -90,11 +101,113 @@ def except_all_verdict(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return out.drop("k")
 
 
-def compare(baseline: DataFrame, candidate: DataFrame) -> Equality:
-    """The gates, then the grouped verdict. Raises where a type cannot be compared."""
-    for df in (baseline, candidate):
-        if bad := unsupported(df.schema):
+STRATEGIES = {"grouped_counts": grouped_verdict, "except_all": except_all_verdict}
+
+
+def verdict(baseline: DataFrame, candidate: DataFrame, strategy: str = "grouped_counts") -> DataFrame:
+    """One row of COUNTS by a strategy of that name; any other counts by groups."""
+    return STRATEGIES.get(strategy, grouped_verdict)(baseline, candidate)
+
+
+def gates(baseline: T.StructType, candidate: T.StructType) -> bool:
+    """Whether the rows are to be compared at all: False for other schemas. Raises where a type cannot be compared."""
+    for schema in (baseline, candidate):
+        if bad := unsupported(schema):
             raise TypeError(f"UNSUPPORTED_COMPARISON_TYPE: {', '.join(bad)}")
-    if not schemas_equal(baseline.schema, candidate.schema):
-        return Equality(False)
-    return Equality(True, *grouped_verdict(baseline, candidate).first())
+    return schemas_equal(baseline, candidate)
+
+
+def compare(baseline: DataFrame, candidate: DataFrame, strategy: str = "grouped_counts") -> Equality:
+    """The gates, then the verdict."""
+    return Equality.of_row(verdict(baseline, candidate, strategy).first()) if gates(baseline.schema, candidate.schema) else Equality(False)
+
+
+def compare_all(pairs: dict[str, tuple[DataFrame, DataFrame]], strategy: str = "grouped_counts") -> dict[str, Equality | Exception]:
+    """Several pairs in one job. Where that fails, each pair alone, so that a failure is its own; a pair that fails the gates reads no rows."""
+    out: dict[str, Equality | Exception] = {}
+    ready = {}
+    for name, (baseline, candidate) in pairs.items():
+        try:
+            if gates(baseline.schema, candidate.schema):
+                ready[name] = verdict(baseline, candidate, strategy)
+            else:
+                out[name] = Equality(False)
+        except (TypeError, PySparkException) as e:
+            out[name] = e
+    if not ready:
+        return out
+    rows = [df.select(F.lit(name).alias("pair"), *COUNTS) for name, df in ready.items()]
+    try:
+        found = {r["pair"]: r for r in reduce(DataFrame.unionAll, rows).collect()}
+        out |= {name: Equality(True, *(found[name][c] for c in COUNTS)) for name in ready}
+    except PySparkException:
+        for name, df in ready.items():
+            try:
+                out[name] = Equality.of_row(df.first())
+            except PySparkException as e:
+                out[name] = e
+    return out
+
+
+# --- names and literals in text that is run ------------------------------------------
+
+
+def quote(name: str) -> str:
+    """A name as an identifier of Spark's, whatever it holds."""
+    if not name or "\0" in name:
+        raise ValueError("not a name")
+    return "`" + name.replace("`", "``") + "`"
+
+
+def relation(text: str) -> str:
+    """A relation of one to three quoted parts, and nothing else."""
+    if not re.fullmatch(r"`(?:[^`\0]|``)+`(?:\.`(?:[^`\0]|``)+`){0,2}", text):
+        raise ValueError(f"not a quoted relation: {text}")
+    return text
+
+
+def literal(value: str) -> str:
+    """A string literal; a backslash or NUL is refused, as it would be read otherwise."""
+    if "\\" in value or "\0" in value:
+        raise ValueError("a literal with a backslash or NUL")
+    return "'" + value.replace("'", "''") + "'"
+
+
+# Other names of types, and the name that stands for each.
+TYPE_NAMES = {
+    "int2": "smallint",
+    "int4": "int",
+    "integer": "int",
+    "int8": "bigint",
+    "long": "bigint",
+    "short": "smallint",
+    "bool": "boolean",
+    "text": "string",
+    "character varying": "varchar",
+    "character": "char",
+    "numeric": "decimal",
+    "dec": "decimal",
+    "bytea": "binary",
+    "timestamp without time zone": "timestamp_ntz",
+    "timestamp with time zone": "timestamp",
+    "timestamptz": "timestamp",
+}
+
+
+def type_name(declared: str) -> str:
+    """A declared type by the one name of its kind, its size kept."""
+    text = " ".join(declared.lower().split())
+    bare, size = (text[: text.index("(")].strip(), text[text.index("(") : text.rindex(")") + 1].replace(" ", "")) if "(" in text else (text, "")
+    behind = text[text.rindex(")") + 1 :].strip() if "(" in text else ""
+    whole = f"{bare} {behind}".strip()
+    return TYPE_NAMES.get(whole, whole) + size
+
+
+def ordered_schema(columns: list[tuple[int, str, str]]) -> list[tuple[str, str]]:
+    """Names and types of a catalogue's rows (place, name, declared type), in the order of their places."""
+    return [(name, type_name(kind)) for _, name, kind in sorted(columns)]
+
+
+def catalogue(spark: SparkSession, names: list[str]) -> dict[str, list[tuple[str, str]]]:
+    """The ordered names and exact declared types of relations, as the catalogue has them."""
+    return {n: ordered_schema([(i, f.name, declared_type(f)) for i, f in enumerate(spark.table(relation(n)).schema.fields)]) for n in names}

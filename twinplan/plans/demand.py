@@ -13,11 +13,15 @@ from twinplan.functions.lexer import Token, closing
 from twinplan.plans.models import NOT_ALIAS, Entry, Model, is_name, parse_model
 from twinplan.plans.rewrite import Edit, _unmoved, apply_edits
 
-KEYWORDS = frozenset(
-    "SELECT DISTINCT ALL FROM WHERE GROUP BY HAVING ORDER LIMIT OFFSET AND OR NOT IN IS NULL TRUE FALSE BETWEEN LIKE ILIKE CASE WHEN THEN ELSE END AS ASC DESC NULLS FIRST LAST "
-    "ON USING JOIN INNER LEFT RIGHT FULL OUTER CROSS OVER PARTITION RANGE GROUPS ROWS UNBOUNDED PRECEDING FOLLOWING CURRENT ROW FILTER WITHIN ESCAPE QUALIFY EXISTS".split()
+#: Words that no column and no alias without AS is called; all others are names wherever an operand can stand.
+RESERVED = frozenset(
+    "SELECT DISTINCT ALL FROM WHERE GROUP BY HAVING ORDER LIMIT OFFSET AND OR NOT IN IS NULL TRUE FALSE BETWEEN LIKE ILIKE CASE WHEN THEN ELSE END AS ASC DESC "
+    "ON USING JOIN INNER LEFT RIGHT FULL OUTER CROSS QUALIFY".split()
 )
-REFUSED_WORDS = frozenset("UNION INTERSECT EXCEPT MINUS NATURAL PIVOT UNPIVOT LATERAL TABLESAMPLE EXCLUDE WINDOW INTO FETCH RECURSIVE UNNEST FLATTEN MATCH_RECOGNIZE".split())
+#: Words behind which another operand stands, where one has just ended.
+BETWEEN_OPERANDS = frozenset("AND OR IN BETWEEN LIKE ILIKE ESCAPE WHEN THEN ELSE".split())
+FRAME = frozenset("BETWEEN AND UNBOUNDED PRECEDING FOLLOWING CURRENT ROW EXCLUDE NO OTHERS TIES GROUP".split())
+REFUSED_WORDS = frozenset("UNION INTERSECT MINUS NATURAL PIVOT UNPIVOT TABLESAMPLE WINDOW INTO FETCH RECURSIVE MATCH_RECOGNIZE".split())
 TYPE_WORDS = frozenset("DOUBLE PRECISION TIMESTAMP TIME WITH WITHOUT ZONE CHARACTER VARYING".split())
 TYPED = frozenset("DATE TIME TIMESTAMP INTERVAL".split())
 CLAUSES = ("FROM", "WHERE", "GROUP", "HAVING", "QUALIFY", "ORDER", "LIMIT", "OFFSET")
@@ -32,6 +36,7 @@ class Column:
     qualifier: str | None
     name: str
     text: str
+    path: bool = False
 
 
 @dataclass(frozen=True)
@@ -46,88 +51,164 @@ def clauses(ts: tuple[Token, ...]) -> dict[str, list[Token]]:
     if not ts or ts[0].upper != "SELECT":
         raise Unclear
     out: dict[str, list[Token]] = {"SELECT": []}
-    depth, now = 0, "SELECT"
+    depth, now, before, compares = 0, "SELECT", ts[0], False
     for t in ts[1:]:
         depth += (t.text == "(") - (t.text == ")")
-        if t.upper in REFUSED_WORDS or t.upper == "SELECT":
+        if t.upper in REFUSED_WORDS and before.text != "." or t.upper == "SELECT" or t.upper == "EXCEPT" and before.text != "*":
             raise Unclear
-        if depth == 0 and t.upper in CLAUSES:
+        if depth == 0 and t.upper in CLAUSES and before.text != "." and not (compares and before.upper == "DISTINCT"):
             if t.upper in out or t.upper == now:
                 raise Unclear
             now = t.upper
             out[now] = []
-            continue
-        out[now].append(t)
+        else:
+            out[now].append(t)
+        if t.upper != "DISTINCT":
+            compares = t.upper in ("IS", "NOT")
+        before = t
     return out
 
 
 def columns(ts: list[Token], rule: str) -> list[Column]:
-    """The columns that an expression reads, in order. Raises where a token is neither understood nor harmless."""
+    """The columns that an expression, or a list of them, reads, in order. Raises where a token is neither understood nor harmless.
+
+    Whether a word is a name is told by its place: where an operand is due it is
+    one unless it is reserved, and behind an operand it is an operator.
+    """
     out, i, operand = [], 0, False
+    words = lambda at, n: [t.upper for t in ts[at : at + n]]
     while i < len(ts):
         t = ts[i]
         after = ts[i + 1] if i + 1 < len(ts) else None
-        if t.kind in ("string", "number"):
-            i, operand = i + 1, True
-        elif t.kind == "word" and t.upper in KEYWORDS:
-            i, operand = i + 1, t.upper in ("END", "NULL", "TRUE", "FALSE")
-        elif is_name(t):
-            if operand:
-                raise Unclear
-            if t.kind == "word" and t.upper in TYPED and after is not None and after.kind == "string":
+        if t.text == "(":
+            end = closing(ts, i)
+            out += columns(ts[i + 1 : end], rule)
+            i, operand = end + 1, True
+        elif t.text in ("+", "-", "/", "%", "=", "<", ">", "<=", ">=", "<>", "!=", "||", ",", "^"):
+            i, operand = i + 1, False
+        elif operand:
+            if t.text == "*":
+                i, operand = i + 1, False
+            elif t.text == "::":
+                if after is None or after.kind != "word":
+                    raise Unclear
+                i += 2
+                while i < len(ts) and ts[i].upper in TYPE_WORDS:
+                    i += 1
+                if i < len(ts) and ts[i].text == "(":
+                    i = closing(ts, i) + 1
+            elif t.upper in ("OVER", "FILTER", "WITHIN"):
+                at = i + 2 if t.upper == "WITHIN" and words(i + 1, 1) == ["GROUP"] else i + 1
+                if at >= len(ts) or ts[at].text != "(":
+                    raise Unclear
+                end = closing(ts, at)
+                inside = ts[at + 1 : end]
+                out += columns(inside[1:], rule) if t.upper == "FILTER" and words(at + 1, 1) == ["WHERE"] else _window(inside, rule) if t.upper != "FILTER" else _unclear()
+                i = end + 1
+            elif t.upper == "IS":
+                i += 1 + (words(i + 1, 1) == ["NOT"])
+                if words(i, 2) == ["DISTINCT", "FROM"]:
+                    i, operand = i + 2, False
+                elif words(i, 1) and words(i, 1)[0] in ("NULL", "TRUE", "FALSE", "UNKNOWN"):
+                    i += 1
+                else:
+                    raise Unclear
+            elif t.upper == "NOT" and after is not None and after.upper in ("IN", "BETWEEN", "LIKE", "ILIKE"):
                 i += 1
-                continue
-            if t.kind == "word" and after is not None and after.text == "(":
-                end, name = closing(ts, i + 1), t.upper
-                inside = ts[i + 2 : end]
-                if name == "COUNT" and [x.text for x in inside] == ["*"]:
-                    inside = []
-                elif name in ("CAST", "TRY_CAST"):
-                    ass = [k for k, x in enumerate(inside) if x.upper == "AS"]
-                    if not ass:
-                        raise Unclear
-                    inside = inside[: ass[-1]]
-                elif name == "EXTRACT":
-                    if len(inside) < 3 or inside[1].upper != "FROM":
-                        raise Unclear
-                    inside = inside[2:]
-                elif any(x.upper in ("FROM", "FOR") for x in inside):
+            elif t.upper in BETWEEN_OPERANDS:
+                i, operand = i + 1, False
+            elif t.upper in ("ASC", "DESC", "END"):
+                i += 1
+            elif t.upper == "NULLS" and after is not None and after.upper in ("FIRST", "LAST"):
+                i += 2
+            else:
+                raise Unclear
+        elif t.kind in ("string", "number") or t.upper in ("NULL", "TRUE", "FALSE"):
+            i, operand = i + 1, True
+        elif t.upper in ("NOT", "CASE", "WHEN", "DISTINCT"):
+            i += 1
+        elif not is_name(t) or t.upper in RESERVED:
+            raise Unclear
+        elif t.kind == "word" and t.upper in TYPED and after is not None and after.kind == "string":
+            i += 1
+        elif t.kind == "word" and after is not None and after.text == "(":
+            end, name = closing(ts, i + 1), t.upper
+            inside = ts[i + 2 : end]
+            if name == "COUNT" and [x.text for x in inside] == ["*"]:
+                inside = []
+            elif name in ("CAST", "TRY_CAST"):
+                ass = [k for k, x in enumerate(inside) if x.upper == "AS"]
+                if not ass:
                     raise Unclear
-                out += columns(inside, rule)
-                i, operand = end + 1, True
-                continue
-            chain = [t]
-            j = i + 1
+                inside = inside[: ass[-1]]
+            elif name == "EXTRACT":
+                if len(inside) < 3 or inside[1].upper != "FROM":
+                    raise Unclear
+                inside = inside[2:]
+            elif any(x.upper in ("FROM", "FOR") for x in _shallow(inside)):
+                raise Unclear
+            else:
+                inside, order = _before_order(inside)
+                out += columns(order, rule)
+            out += columns(inside, rule)
+            i, operand = end + 1, True
+        else:
+            chain, j = [t], i + 1
             while j + 1 < len(ts) and ts[j].text == "." and is_name(ts[j + 1]):
                 chain.append(ts[j + 1])
                 j += 2
             if j < len(ts) and ts[j].text in (".", "[", ":"):
                 raise Unclear
-            if len(chain) > 2:
-                raise Unclear
             parts = [identifier(x.text, rule).identity for x in chain]
-            out.append(Column(parts[0] if len(parts) == 2 else None, parts[-1], chain[-1].text))
+            # a path into a struct reads the column at its head, which only a qualified path names for sure
+            out.append(Column(parts[0], parts[1], chain[1].text, len(parts) > 2) if len(parts) > 1 else Column(None, parts[0], t.text))
             i, operand = j, True
-        elif t.text == "::":
-            if after is None or after.kind != "word":
+    return out
+
+
+def _shallow(ts: list[Token]) -> list[Token]:
+    """The tokens outside of parentheses."""
+    out, depth = [], 0
+    for t in ts:
+        depth += (t.text == "(") - (t.text == ")")
+        if depth == 0:
+            out.append(t)
+    return out
+
+
+def _unclear() -> list[Column]:
+    raise Unclear
+
+
+def _before_order(ts: list[Token]) -> tuple[list[Token], list[Token]]:
+    """The arguments of an aggregate and what it is ordered by."""
+    depth = 0
+    for i, t in enumerate(ts):
+        depth += (t.text == "(") - (t.text == ")")
+        if depth == 0 and t.upper == "ORDER" and i + 1 < len(ts) and ts[i + 1].upper == "BY":
+            return ts[:i], ts[i + 2 :]
+    return ts, []
+
+
+def _window(ts: list[Token], rule: str) -> list[Column]:
+    """The columns of PARTITION BY and ORDER BY; a frame of words and numbers has none."""
+    out, part, depth, i = [], [], 0, 0
+    while i <= len(ts):
+        t = ts[i] if i < len(ts) else None
+        pair = [x.upper for x in ts[i : i + 2]] if depth == 0 else []
+        frame = len(pair) == 2 and pair[0] in ("RANGE", "ROWS", "GROUPS") and (pair[1] in ("BETWEEN", "UNBOUNDED", "CURRENT") or ts[i + 1].kind in ("number", "string"))
+        if t is None or frame or pair in (["PARTITION", "BY"], ["ORDER", "BY"]):
+            out += columns(part, rule)
+            part = []
+            if frame and any(not (x.upper in FRAME or x.kind in ("number", "string") or x.upper == "INTERVAL") for x in ts[i + 1 :]):
                 raise Unclear
+            if t is None or frame:
+                return out
             i += 2
-            while i < len(ts) and ts[i].upper in TYPE_WORDS:
-                i += 1
-            if i < len(ts) and ts[i].text == "(":
-                i = closing(ts, i) + 1
-        elif t.text == "(":
-            end = closing(ts, i)
-            out += columns(ts[i + 1 : end], rule)
-            i, operand = end + 1, True
-        elif t.text == "*":
-            if not operand:
-                raise Unclear
-            i, operand = i + 1, False
-        elif t.text in ("+", "-", "/", "%", "=", "<", ">", "<=", ">=", "<>", "!=", "||", ",", "^"):
-            i, operand = i + 1, False
-        else:
-            raise Unclear
+            continue
+        depth += (t.text == "(") - (t.text == ")")
+        part.append(t)
+        i += 1
     return out
 
 
@@ -144,13 +225,17 @@ def split_items(ts: list[Token]) -> list[list[Token]]:
 
 @dataclass
 class Scope:
-    """A flat query: its relations by the name they are called, their entry, its USING columns and its ON expressions."""
+    """A flat query: its relations by the name they are called, their entry, its USING columns, its ON expressions and what row sources unfold.
+
+    rows: names of row sources, which stand for an element and have no entry.
+    """
 
     parts: dict[str, list[Token]]
     bound: dict[str, str | None]
     using: list[Token]
     on: list[list[Token]]
     distinct: bool
+    rows: frozenset[str]
 
 
 def scope_of(ts: tuple[Token, ...], model: Model) -> Scope:
@@ -158,15 +243,22 @@ def scope_of(ts: tuple[Token, ...], model: Model) -> Scope:
         ts = ts[:-1]
     parts, rule = clauses(ts), model.rule
     known = {e.name.identity for e in model.entries}
-    bound, using, on, i = {}, [], [], 0
+    bound, using, on, rows, i = {}, [], [], set(), 0
     source = parts.get("FROM", [])
-    if _top_comma(source):
-        raise Unclear
     expect = True
     while i < len(source):
         t = source[i]
-        if expect:
-            if not is_name(t):
+        if t.text == "," and not expect and bound and _is_row_source(source, i + 1):
+            expect, i = True, i + 1
+        elif expect and _is_row_source(source, i):
+            unfolded, name, i = _row_source(source, i, rule)
+            if name in bound:
+                raise Unclear
+            on.append(unfolded)
+            rows.add(name)
+            bound[name], expect = None, False
+        elif expect:
+            if not is_name(t) or t.upper in RESERVED or t.upper == "LATERAL":
                 raise Unclear
             chain = identifier(t.text, rule).identity
             entry, i = (chain if chain in known else None), i + 1
@@ -178,6 +270,8 @@ def scope_of(ts: tuple[Token, ...], model: Model) -> Scope:
                 i += 1
             if i < len(source) and is_name(source[i]) and source[i].upper not in NOT_ALIAS:
                 chain, i = identifier(source[i].text, rule).identity, i + 1
+            elif source[i - 1].upper == "AS":
+                raise Unclear
             if chain in bound or (i < len(source) and source[i].text == "("):
                 raise Unclear
             bound[chain], expect = entry, False
@@ -194,7 +288,7 @@ def scope_of(ts: tuple[Token, ...], model: Model) -> Scope:
             while j < len(source):
                 depth += (source[j].text == "(") - (source[j].text == ")")
                 follows = source[j + 1].text if j + 1 < len(source) else ""
-                if depth == 0 and source[j].upper in ("JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS") and follows != "(":
+                if depth == 0 and (source[j].upper in ("JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS") and follows != "(" or source[j].text == ","):
                     break
                 j += 1
             on.append(source[i + 1 : j])
@@ -209,7 +303,28 @@ def scope_of(ts: tuple[Token, ...], model: Model) -> Scope:
         parts["SELECT"] = wanted[1:]
         if parts["SELECT"] and parts["SELECT"][0].upper == "ON":
             raise Unclear
-    return Scope(parts, bound, using, on, distinct)
+    return Scope(parts, bound, using, on, distinct, frozenset(rows))
+
+
+def _is_row_source(ts: list[Token], at: int) -> bool:
+    """UNNEST(x), or LATERAL and a call."""
+    words = [t.upper for t in ts[at : at + 3]]
+    return words[:2] == ["UNNEST", "("] or len(words) == 3 and words[0] == "LATERAL" and words[2] == "(" and is_name(ts[at + 1])
+
+
+def _row_source(ts: list[Token], at: int, rule: str) -> tuple[list[Token], str, int]:
+    """What a row source unfolds, the name of its rows, and the place behind it. One argument, and an alias that is spelled out."""
+    open_ = at + 1 + (ts[at].upper == "LATERAL")
+    end = closing(ts, open_)
+    inside = ts[open_ + 1 : end]
+    if len(inside) > 3 and inside[0].upper == "INPUT" and [t.text for t in inside[1:3]] == ["=", ">"]:
+        inside = inside[3:]
+    named = end + 1 + (end + 1 < len(ts) and ts[end + 1].upper == "AS")
+    if not inside or _top_comma(inside) or named >= len(ts) or not is_name(ts[named]) or ts[named].upper in NOT_ALIAS | {"WITH"}:
+        raise Unclear
+    if named + 1 < len(ts) and ts[named + 1].upper in ("WITH", "("):
+        raise Unclear
+    return inside, identifier(ts[named].text, rule).identity, named + 1
 
 
 def _top_comma(ts: list[Token]) -> bool:
@@ -225,11 +340,30 @@ def _output(item: list[Token], rule: str) -> tuple[list[Token], str | None, bool
     """An item's expression, its output name, and whether it is just a column of that name."""
     if len(item) >= 3 and item[-2].upper == "AS" and is_name(item[-1]):
         return item[:-2], identifier(item[-1].text, rule).identity, False
-    if len(item) >= 2 and is_name(item[-1]) and item[-1].upper not in KEYWORDS and (is_name(item[-2]) and item[-2].upper not in KEYWORDS or item[-2].text == ")" or item[-2].kind in ("string", "number")):
-        return item[:-1], identifier(item[-1].text, rule).identity, False
+    if len(item) >= 2 and is_name(item[-1]) and item[-1].upper not in RESERVED and item[-2].text != ".":
+        before = item[-2]
+        ended = is_name(before) and before.upper not in RESERVED or before.text == ")" or before.kind in ("string", "number") or before.upper in ("END", "NULL", "TRUE", "FALSE")
+        if ended:
+            return item[:-1], identifier(item[-1].text, rule).identity, False
     return item, identifier(item[-1].text, rule).identity if item and is_name(item[-1]) else None, True
 
 
+def _star(item: list[Token], rule: str) -> tuple[str | None, dict[str, str]] | None:
+    """For `*` or `name.*`, with EXCEPT or EXCLUDE or without: the name and the columns left out. None for other items."""
+    at = 2 if len(item) >= 3 and item[1].text == "." and is_name(item[0]) else 0
+    if at >= len(item) or item[at].text != "*":
+        return None
+    rest, left_out = item[at + 1 :], []
+    if rest:
+        if rest[0].upper not in ("EXCEPT", "EXCLUDE") or len(rest) < 2:
+            raise Unclear
+        listed = rest[2:-1] if rest[1].text == "(" and closing(rest, 1) == len(rest) - 1 else rest[1:] if len(rest) == 2 else []
+        left_out = [t for t in listed if t.text != ","]
+        if not left_out or not all(map(is_name, left_out)) or [t.text for t in listed[1::2]] != [","] * (len(left_out) - 1):
+            raise Unclear
+    return identifier(item[0].text, rule).identity if at else None, {identifier(t.text, rule).identity: t.text for t in left_out}
+
+
 def demands(model: Model) -> dict[str, dict[str, str]]:
     """For each entry: the columns that others read of it, in order of first use, each as it is first spelled."""
     rule = model.rule
@@ -243,6 +377,8 @@ def demands(model: Model) -> dict[str, dict[str, str]]:
         using = {identifier(t.text, rule).identity: t.text for t in s.using}
 
         def want(c: Column) -> None:
+            if c.qualifier in s.rows or c.qualifier is None and c.name in s.rows:
+                return  # an element of what is unfolded
             if c.qualifier is None and c.name in s.bound:
                 raise Unclear  # may be the whole row
             if c.qualifier is None and c.name in using:
@@ -260,14 +396,16 @@ def demands(model: Model) -> dict[str, dict[str, str]]:
                     found[s.bound[t]].setdefault(c.name, c.text)
 
         items = split_items(s.parts["SELECT"])
-        texts = [[t.text for t in x] for x in items]
-        lone = len(every) == 1 and (texts[0] == ["*"] or len(items[0]) == 3 and texts[0][1:] == [".", "*"] and identifier(texts[0][0], rule).identity in s.bound)
-        if any(x[-1:] == ["*"] for x in texts):
+        stars = [_star(x, rule) for x in items]
+        if any(x is not None for x in stars):
             grouped = s.distinct or "GROUP" in s.parts or "HAVING" in s.parts
             numbered = any(x and x[0].kind == "number" for x in split_items(s.parts.get("ORDER", [])[1:]))
-            if wanted is None or len(items) != 1 or not lone or grouped or numbered:
+            if wanted is None or len(items) != 1 or len(every) != 1 or stars[0][0] not in (None, *every) or grouped or numbered:
                 raise Unclear
-            for name, text in wanted.items():
+            left_out = stars[0][1]
+            if set(left_out) & set(wanted):
+                raise Unclear
+            for name, text in {**wanted, **left_out}.items():
                 want(Column(None, name, text))
             aliases = {}
         else:
@@ -334,6 +472,8 @@ def narrowings(model: Model) -> list[Narrowed]:
         if e.call is None or not wanted:
             continue
         if e.star:
+            if e.left_out & set(wanted):
+                continue
             names = tuple(wanted.values())
             new = ", ".join(names)
         else:

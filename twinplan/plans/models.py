@@ -62,6 +62,8 @@ class Entry:
     body: tuple[Token, ...]
     call: RelationCall | None = None
     star: bool = False
+    left_out: frozenset[str] = frozenset()
+    commented: bool = False
     alias: Identifier | None = None
     projections: tuple[Projection, ...] = ()
     list_start: int = 0
@@ -70,7 +72,8 @@ class Entry:
 
     @property
     def supported(self) -> bool:
-        return self.call is not None and not self.star
+        """Whether it can be merged: a list of columns of a relation without an alias, and no comment between a column and its comma."""
+        return self.call is not None and not self.star and self.alias is None and not self.commented
 
 
 @dataclass(frozen=True)
@@ -128,7 +131,7 @@ def parse_model(raw: bytes, rule: str = "lower") -> Model:
             raise Refused("UNSUPPORTED_IMPORT_SHAPE", "a name is there twice")
         seen.add(name.identity)
         entry = Entry(name, len(entries), head[0].start, ts[stop].end, tuple(ts[at + 3 : stop]))
-        entries.append(_import(entry, masked, rule))
+        entries.append(_import(entry, masked, rule, every))
         at = stop + 1
         if at < len(ts) and ts[at].text == ",":
             at += 1
@@ -144,7 +147,7 @@ def parse_model(raw: bytes, rule: str = "lower") -> Model:
     return replace(empty, entries=tuple(entries), readers=tuple(readers), nested=nested, final=final)
 
 
-def _import(entry: Entry, masked: Masked, rule: str) -> Entry:
+def _import(entry: Entry, masked: Masked, rule: str, every: tuple[Token, ...]) -> Entry:
     ts = entry.body
     if len(ts) < 4 or ts[0].upper != "SELECT":
         return entry
@@ -174,6 +177,10 @@ def _import(entry: Entry, masked: Masked, rule: str) -> Entry:
     own = len(wanted) == 3 and is_name(wanted[0]) and wanted[1].text == "." and alias is not None and identifier(wanted[0].text, rule).identity == alias.identity
     if wanted[-1].text == "*" and (len(wanted) == 1 or own):
         return replace(found, star=True)
+    if wanted[0].text == "*" and wanted[1].upper in ("EXCEPT", "EXCLUDE"):
+        names = [t for t in wanted[2:] if t.text not in ("(", ")", ",")]
+        if names and all(map(is_name, names)):
+            return replace(found, star=True, left_out=frozenset(identifier(t.text, rule).identity for t in names))
     items, item = [], []
     for t in (*wanted, None):
         if t is None or t.text == ",":
@@ -191,7 +198,13 @@ def _import(entry: Entry, masked: Masked, rule: str) -> Entry:
         else:
             item.append(t)
     outputs = [p.output.identity for p in items]
-    return replace(found, projections=tuple(items)) if len(set(outputs)) == len(outputs) else entry
+    if len(set(outputs)) != len(outputs):
+        return entry
+    ends = {p.end for p in items[:-1]}
+    commented = any(
+        t.kind == "comment" and found.list_start < t.start < found.list_end and every[i - 1 - (every[i - 1].kind == "space")].end in ends for i, t in enumerate(every)
+    )
+    return replace(found, projections=tuple(items), commented=commented)
 
 
 def ends_predicate(tokens) -> bool:

@@ -44,7 +44,10 @@ def check_json(project: str, receipts: list[Receipt], command: str = "check") ->
         "different": count("different"), "unverifiable": count("unverifiable"), "errors": count("error"),
     }
     models = [
-        {"source_path": r.source_path, "status": r.status, "reason_codes": list(r.reason_codes), "fixable": r.fixable, "equality": asdict(r.equality), "diff": r.diff}
+        {"source_path": r.source_path, "status": r.status, "reason_codes": list(r.reason_codes), "fixable": r.fixable, "equality": asdict(r.equality), "diff": r.diff,
+         "evidence": {"before_sha256": r.before_sha256, "after_sha256": r.after_sha256, "baseline_sha256": r.baseline_sha256, "candidate_sha256": r.candidate_sha256,
+                      "dialect": r.dialect, "run_id": r.run_id, "relations": list(r.relations), "tool_version": r.tool_version, "spark_version": r.spark_version},
+         "cleanup_complete": r.cleanup_complete, "detail": r.detail}
         for r in ordered
     ]
     return json.dumps({"schema_version": SCHEMA_VERSION, "command": command, "project_dir": project, "summary": summary, "models": models, "cleanup": {"complete": all(r.cleanup_complete for r in ordered)}}, indent=2)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinplan.functions.identifiers import Refused
+from twinplan.plans.compiled import compiled_duplicates
 from twinplan.plans.demand import narrowings
 from twinplan.plans.determinism import refusals
 from twinplan.plans.models import called_twice, duplicate_groups, parse_model
@@ -22,6 +23,7 @@ from twinplan.plans.models import called_twice, duplicate_groups, parse_model
 FINDINGS = "source_path string, upstream string, entries array<string>, status string, reason_codes array<string>, line int"
 CALLS = "source_path string, kind string, package string, name string, source_name string, version string, start int, stop int, line int"
 ENTRIES = "source_path string, entry string, ordinal int, upstream string, columns array<string>, filtered boolean, readers int"
+COMPILED = "source_path string, relation string, entries array<string>, plain boolean"
 GATE = "source_path string, deterministic boolean, reasons array<string>"
 
 
@@ -123,6 +125,19 @@ def _imports(path: str, raw: bytes, rule: str) -> list[dict]:
     ]
 
 
+def compiled_imports(models: DataFrame, rule: str = "lower") -> DataFrame:
+    """Of compiled queries: relations that several entries import, with those entries in order, and whether all are plain imports."""
+    return models.select("source_path", "content").mapInPandas(partial(_each, rows=partial(_compiled, rule=rule), schema=COMPILED), COMPILED)
+
+
+def _compiled(path: str, raw: bytes, rule: str) -> list[dict]:
+    try:
+        found = compiled_duplicates(raw.decode("utf-8"), rule)
+    except (Refused, UnicodeDecodeError):
+        return []
+    return [{"source_path": path, "relation": r, "entries": list(names), "plain": ok} for r, names, ok in found]
+
+
 def determinism(models: DataFrame) -> DataFrame:
     return models.select("source_path", "content").mapInPandas(partial(_each, rows=_gate, schema=GATE), GATE)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinplan import service
-from twinplan.examples import MODELS
+from twinplan.examples import MODELS, POSTGRES, corpus_of, gated_corpus
 from twinplan.functions import postgres as P
 from twinplan.operators import compare as C
 from twinplan.sources import corpus
@@ -29,17 +29,6 @@ def bag_verdict_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.except_all_verdict(*_pair(spark, sf_dir))
 
 
-def pruned_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _table(spark, sf_dir, "orders").createOrReplaceTempView("workload_orders")
-    return spark.sql("WITH a AS (SELECT o_orderkey, o_custkey FROM workload_orders) SELECT a.o_orderkey, b.o_custkey FROM a JOIN a AS b ON a.o_orderkey = b.o_orderkey")
-
-
-def duplicate_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D8: upstream relations that one group of rows names twice or more; here, parts that an order has on several lines."""
-    lines = _table(spark, sf_dir, "lineitem")
-    return lines.groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("members"), F.min("l_linenumber").alias("first")).filter("members >= 2")
-
-
 def numeric_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("o_totalprice"), F.col("o_totalprice") - 100000
     return _table(spark, sf_dir, "orders").select(
@@ -79,7 +68,7 @@ def window_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bag_verdict_grouped, bag_verdict_except_all, pruned_import, duplicate_imports, numeric_functions, string_functions, date_functions, aggregates, window_aggregate)
+    for f in (bag_verdict_grouped, bag_verdict_except_all, numeric_functions, string_functions, date_functions, aggregates, window_aggregate)
 }
 
 _VERDICT = """
@@ -92,8 +81,6 @@ SELECT (SELECT count(*) FROM b) AS baseline_rows, (SELECT count(*) FROM c) AS ca
 ORACLES = {
     "bag_verdict_grouped": _VERDICT,
     "bag_verdict_except_all": _VERDICT,
-    "pruned_import": "WITH a AS (SELECT * FROM orders), b AS (SELECT * FROM orders) SELECT a.o_orderkey, b.o_custkey FROM a JOIN b ON a.o_orderkey = b.o_orderkey",
-    "duplicate_imports": "SELECT l_orderkey, l_suppkey, count(*) AS members, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2",
     "numeric_functions": """
 SELECT o_orderkey, abs(y) AS f_abs, ceil(y) AS f_ceil, floor(y) AS f_floor, trunc(y) AS f_trunc, round(sqrt(x), 6) AS f_sqrt, round(log(x), 6) AS f_log,
        round(ln(x), 6) AS f_ln, greatest(x, y) AS f_greatest, least(x, y) AS f_least, nullif(o_orderstatus, 'F') AS f_nullif
@@ -119,77 +106,181 @@ SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS n
 
 # --- the engine's rewrites: Spark runs the candidate, the SQL is the file as it was ---
 
+#: Relations that models name and that are made of a table: for Spark, and for DuckDB where it spells them otherwise.
+MADE = {
+    "wide": ("SELECT l_orderkey AS id, l_quantity AS qty, " + ", ".join(f"concat(repeat('{c}', 120), l_shipdate) AS w{i}" for i, c in enumerate("abcdefgh")) + " FROM {lineitem}", None),
+    "named": ("SELECT o_orderkey AS id, o_custkey AS first, o_orderstatus AS last, o_totalprice AS row, o_orderpriority AS range, o_custkey % 5 AS groups FROM {orders}", None),
+    "nested": (
+        "SELECT o_orderkey AS id, named_struct('city', o_custkey, 'street', named_struct('number', o_custkey % 7)) AS place, o_orderstatus AS s FROM {orders}",
+        "SELECT o_orderkey AS id, {{'city': o_custkey, 'street': {{'number': o_custkey % 7}}}} AS place, o_orderstatus AS s FROM {orders}",
+    ),
+    "listed": ("SELECT o_orderkey AS id, array(o_custkey, o_custkey + 1, NULL) AS items, o_orderstatus AS kind, o_totalprice AS p FROM {orders}",
+               "SELECT o_orderkey AS id, [o_custkey, o_custkey + 1, NULL] AS items, o_orderstatus AS kind, o_totalprice AS p FROM {orders}"),
+}
+_TABLES = ("lineitem", "orders")
 
-def _models(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"models/{k}.sql", v.encode()) for k, v in sorted(MODELS.items())], "source_path string, content binary")
+
+def _spark_relation(sf_dir: str):
+    table = lambda name: f"parquet.`{sf_dir}/{name}.parquet`"
+    return lambda call: f"({MADE[call.name][0].format(**{t: table(t) for t in _TABLES})})" if call.name in MADE else table(call.name)
+
+
+def _duck_relation(call) -> str:
+    if call.name not in MADE:
+        return call.name
+    ours, theirs = MADE[call.name]
+    return f"({(theirs or ours).format(**{t: t for t in _TABLES})})"
 
 
 def _candidate(name: str):
+    """The candidate that the engine makes of a model; for a narrowed one, its imports must have changed."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         candidate, codes = service.candidate_of(MODELS[name].encode())
-        assert codes == ("OK",)
-        return spark.sql(service.render(candidate, lambda call: f"parquet.`{sf_dir}/{call.name}.parquet`"))
+        if codes != ("OK",) or candidate == MODELS[name].encode():
+            raise ValueError(f"{name}: {codes}")
+        return spark.sql(service.render(candidate, _spark_relation(sf_dir)))
 
     run.__name__ = f"rewritten_{name}"
     return run
 
 
 def _baseline(name: str) -> str:
-    return service.render(MODELS[name].encode(), lambda call: call.name)
+    return service.render(MODELS[name].encode(), _duck_relation)
 
 
-REWRITTEN = ("merge_two", "merge_filtered", "narrow_star", "narrow_and_merge", "narrow_chain")
+REWRITTEN = ("merge_two", "merge_filtered", "narrow_star", "narrow_and_merge", "narrow_chain", "narrow_names", "narrow_left_out", "narrow_paths", "narrow_rows", "reused_wide")
+
+
+def reused_wide_as_it_was(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide model without narrowing, for comparison with rewritten_reused_wide."""
+    return spark.sql(service.render(MODELS["reused_wide"].encode(), _spark_relation(sf_dir)))
+
+
+def _postgres(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(service.render(POSTGRES[name].encode(), _spark_relation(sf_dir), "postgres"))
+
+    run.__name__ = f"postgres_{name}"
+    return run
+
+
+def _postgres_oracle(name: str) -> str:
+    sql = service.render(POSTGRES[name].encode(), lambda call: call.name, "duckdb")
+    for ours, theirs in _DUCKDB.get(name, {}).items():
+        if ours not in sql:
+            raise ValueError(ours)
+        sql = sql.replace(ours, theirs)
+    return sql
+
+
+#: What DuckDB spells otherwise than PostgreSQL in these models.
+_DUCKDB = {
+    "arithmetic": {"trunc(y)": "CAST(trunc(y) AS BIGINT)"},
+    "casts": {"-2.5::int": "CAST(-2.5 AS int)"},
+    "texts": {"substring(c_name, 0, 4)": "substring(c_name, 1, 3)", "substr(c_name, -2, 5)": "substr(c_name, 1, 2)", "substring(c_name from 3 for 5)": "substring(c_name, 3, 5)", "btrim(": "trim(",
+              "trim(both '#' from '#' || c_mktsegment || '#')": "trim('#' || c_mktsegment || '#', '#')", "position('omer' in c_name)": "strpos(c_name, 'omer')"},
+    "times": {"to_char(ts, 'YYYY-MM-DD\"T\"HH24:MI:SS')": "strftime(ts, '%Y-%m-%dT%H:%M:%S')", "to_date(to_char(ts, 'DD/MM/YYYY'), 'DD/MM/YYYY')": "CAST(ts AS DATE)",
+              "to_timestamp(to_char(ts, 'YYYYMMDD HH24MI'), 'YYYYMMDD HH24MI')::timestamp": "date_trunc('minute', ts)", "to_timestamp(user_id * 1000)::timestamp": "make_timestamp(user_id * 1000 * 1000000)",},
+    "clock": {"localtime is": "current_time is", "localtimestamp > ts": "CAST(now() AS TIMESTAMP) > ts"},
+}
+
+
+# --- what a scan finds in generated files, one for each customer ---------------------
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_of(_table(spark, sf_dir, "customer"))
 
 
 def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.findings(_models(spark)).withColumns({"entries": F.array_join("entries", ","), "reason_codes": F.array_join("reason_codes", ",")})
+    return corpus.findings(_corpus(spark, sf_dir)).withColumns({"entries": F.array_join("entries", ","), "reason_codes": F.array_join("reason_codes", ",")})
 
 
 def relation_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.relation_calls(_models(spark)).groupBy("kind", "name", "source_name").agg(F.count(F.lit(1)).alias("n_calls"), F.count_distinct("source_path").alias("n_files"))
+    calls = corpus.relation_calls(_corpus(spark, sf_dir))
+    return calls.groupBy("kind", "package", "name", "source_name", "version").agg(F.count(F.lit(1)).alias("n_calls"), F.count_distinct("source_path").alias("n_files"))
 
 
 def corpus_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.duplicate_imports(corpus.imports(_models(spark))).withColumn("entries", F.array_join("entries", ","))
+    return corpus.duplicate_imports(corpus.imports(_corpus(spark, sf_dir))).withColumn("entries", F.array_join("entries", ","))
 
 
 def determinism_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.determinism(_models(spark)).withColumn("reasons", F.array_join("reasons", ","))
+    return corpus.determinism(gated_corpus(_table(spark, sf_dir, "customer"))).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def compiled_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the generated files, compiled, import twice: a template may have made it."""
+    plain = F.regexp_replace(F.regexp_replace(F.col("content").cast("string"), r"(?s)\{#.*?#\}", ""), r"\{\{-?\s*(?:ref|source)\([^)]*?['\"](\w+)['\"](?:,\s*\w+=(\d+))?\)\s*-?\}\}", "wh.$1$2")
+    files = _corpus(spark, sf_dir).select("source_path", plain.cast("binary").alias("content"))
+    return corpus.compiled_imports(files).withColumn("entries", F.array_join("entries", ","))
 
 
 def schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered names and types of a table and of a reordered, a renamed and a widened form of it."""
-    base = _table(spark, sf_dir, "nation")
-    forms = {
-        "same": base, "reordered": base.select(*reversed(base.columns)), "renamed": base.withColumnRenamed("n_name", "name"),
-        "widened": base.withColumn("n_regionkey", F.col("n_regionkey").cast("decimal(38,0)")), "fewer": base.drop("n_name"),
-    }
-    return spark.createDataFrame([(k, C.schemas_equal(base.schema, v.schema)) for k, v in forms.items()], "form string, equal boolean")
-
-
-QUERIES |= {f"rewritten_{k}": _candidate(k) for k in REWRITTEN} | {f.__name__: f for f in (scan_findings, relation_calls, corpus_duplicates, determinism_gate, schema_gate)}
-
-ORACLES |= {f"rewritten_{k}": _baseline(k) for k in REWRITTEN} | {
-    "scan_findings": """
-SELECT 'models/' || f || '.sql' AS source_path, u AS upstream, e AS entries, 'needs_compiled_analysis' AS status, c AS reason_codes, CAST(1 AS INTEGER) AS line FROM (VALUES
-  ('cut_without_order', 'orders', 'a,b', 'NEEDS_COMPILED_ANALYSIS'), ('merge_two', 'orders', 'a,b', 'NEEDS_COMPILED_ANALYSIS'),
-  ('merge_filtered', 'customer', 'first,second', 'NEEDS_COMPILED_ANALYSIS'), ('narrow_star', 'lineitem', 'lines', 'UNUSED_IMPORT_COLUMNS'),
-  ('narrow_and_merge', 'orders', 'a,b', 'UNUSED_IMPORT_COLUMNS'), ('narrow_chain', 'orders', 'a', 'UNUSED_IMPORT_COLUMNS'),
-  ('other_filter', 'orders', 'a,b', 'NEEDS_COMPILED_ANALYSIS'), ('sources', 'raw.nation', 'a,b', 'NEEDS_COMPILED_ANALYSIS')) AS t(f, u, e, c)
+    """Ordered names and types of each pair of tables, the second with its columns, or the same ones in reverse, or a name changed."""
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    schemas = {n: _table(spark, sf_dir, n) for n in names}
+    forms = {"same": lambda d: d, "reversed": lambda d: d.select(*reversed(d.columns)), "renamed": lambda d: d.withColumnRenamed(d.columns[-1], "other"),
+             "fewer": lambda d: d.select(*d.columns[:-1]), "texts": lambda d: d.select(*[F.col(c).cast("string") for c in d.columns])}
+    rows = [(a, b, f, C.schemas_equal(schemas[a].schema, make(schemas[b]).schema)) for a in names for b in names for f, make in forms.items()]
+    return spark.createDataFrame(rows, "a string, b string, form string, equal boolean")
+
+
+QUERIES |= {f"rewritten_{k}": _candidate(k) for k in REWRITTEN} | {f"postgres_{k}": _postgres(k) for k in POSTGRES} | {
+    f.__name__: f for f in (reused_wide_as_it_was, scan_findings, relation_calls, corpus_duplicates, compiled_duplicates, determinism_gate, schema_gate)
+}
+
+_FILES = "SELECT 'models/c' || c_custkey || '.sql' AS source_path, c_custkey % 6 AS kind, c_custkey % 4 AS k4, c_nationkey % 2 AS n2, c_nationkey % 3 AS n3, c_nationkey % 4 AS n4 FROM customer"
+
+ORACLES |= {f"rewritten_{k}": _baseline(k) for k in REWRITTEN if k not in ("narrow_left_out", "narrow_rows")} | {f"postgres_{k}": _postgres_oracle(k) for k in POSTGRES} | {
+    "reused_wide_as_it_was": _baseline("reused_wide"),
+    "rewritten_narrow_left_out": _baseline("narrow_left_out").replace("* except (", "* EXCLUDE ("),
+    "rewritten_narrow_rows": _baseline("narrow_rows").replace("lateral explode(a.items) as e", "unnest(a.items) as e(col)"),
+    "scan_findings": f"""
+WITH f AS ({_FILES})
+SELECT source_path, CASE kind WHEN 1 THEN 's0.t1' WHEN 4 THEN 'p.t0.1' WHEN 5 THEN 't0' ELSE 't' || n3 END AS upstream, CASE kind WHEN 2 THEN 'a' ELSE 'a,b' END AS entries,
+       'needs_compiled_analysis' AS status, CASE kind WHEN 2 THEN 'UNUSED_IMPORT_COLUMNS' WHEN 5 THEN 'UNSUPPORTED_IMPORT_SHAPE' ELSE 'NEEDS_COMPILED_ANALYSIS' END AS reason_codes,
+       CAST(CASE kind WHEN 2 THEN 1 + n4 WHEN 3 THEN 2 ELSE 1 END AS INTEGER) AS line
+FROM f WHERE (kind = 0 AND n3 = k4) OR (kind = 1 AND n2 = 0 AND n3 = 1) OR kind IN (2, 3) OR (kind IN (4, 5) AND n2 = 0)
+""",
+    "relation_calls": f"""
+WITH f AS ({_FILES}), c AS (
+  SELECT source_path, 'ref' AS kind, NULL AS package, 't' || n3 AS name, NULL AS source_name, NULL AS version FROM f WHERE kind IN (0, 2, 3)
+  UNION ALL SELECT source_path, 'ref', NULL, 't' || k4, NULL, NULL FROM f WHERE kind = 0
+  UNION ALL SELECT source_path, 'ref', NULL, 't' || n3, NULL, NULL FROM f WHERE kind = 3
+  UNION ALL SELECT source_path, 'source', NULL, 't' || n3, 's' || n2, NULL FROM f WHERE kind = 1
+  UNION ALL SELECT source_path, 'source', NULL, 't1', 's0', NULL FROM f WHERE kind = 1
+  UNION ALL SELECT source_path, 'ref', 'p', 't0', NULL, '1' FROM f WHERE kind = 4
+  UNION ALL SELECT source_path, 'ref', 'p', 't0', NULL, CAST(n2 + 1 AS VARCHAR) FROM f WHERE kind = 4
+  UNION ALL SELECT source_path, 'ref', NULL, 't0', NULL, NULL FROM f WHERE kind = 5
+  UNION ALL SELECT source_path, 'ref', NULL, 't' || n2, NULL, NULL FROM f WHERE kind = 5
+)
+SELECT kind, package, name, source_name, version, count(*) AS n_calls, count(DISTINCT source_path) AS n_files FROM c GROUP BY ALL
 """,
-    "relation_calls": """
-SELECT * FROM (VALUES ('ref', 'orders', NULL, CAST(11 AS BIGINT), CAST(7 AS BIGINT)), ('ref', 'customer', NULL, 2, 1), ('ref', 'lineitem', NULL, 1, 1), ('source', 'nation', 'raw', 2, 1))
-  AS t(kind, name, source_name, n_calls, n_files)
+    "corpus_duplicates": f"""
+WITH f AS ({_FILES})
+SELECT source_path, CASE kind WHEN 1 THEN 's0.t1' WHEN 4 THEN 'p.t0.1' ELSE 't' || n3 END AS upstream, 'a,b' AS entries
+FROM f WHERE (kind = 0 AND n3 = k4) OR (kind = 1 AND n2 = 0 AND n3 = 1) OR kind = 3 OR (kind = 4 AND n2 = 0)
 """,
-    "corpus_duplicates": """
-SELECT 'models/' || f || '.sql' AS source_path, u AS upstream, e AS entries FROM (VALUES
-  ('cut_without_order', 'orders', 'a,b'), ('merge_two', 'orders', 'a,b'), ('merge_filtered', 'customer', 'first,second'),
-  ('narrow_and_merge', 'orders', 'a,b'), ('other_filter', 'orders', 'a,b'), ('sources', 'raw.nation', 'a,b')) AS t(f, u, e)
+    "compiled_duplicates": f"""
+WITH f AS ({_FILES})
+SELECT source_path, CASE kind WHEN 1 THEN 'wh.t1' WHEN 4 THEN 'wh.t01' WHEN 5 THEN 'wh.t0' ELSE 'wh.t' || n3 END AS relation, 'a,b' AS entries, kind <> 5 AS plain
+FROM f WHERE (kind = 0 AND n3 = k4) OR (kind = 1 AND n3 = 1) OR kind = 3 OR (kind IN (4, 5) AND n2 = 0)
 """,
     "determinism_gate": """
-SELECT 'models/' || f || '.sql' AS source_path, r = '' AS deterministic, r AS reasons FROM (VALUES
-  ('cut_without_order', 'rows are cut without an order'), ('volatile', 'volatile: random'), ('merge_two', ''), ('merge_filtered', ''), ('narrow_star', ''),
-  ('narrow_and_merge', ''), ('narrow_chain', ''), ('other_filter', ''), ('shown_all', ''), ('sources', '')) AS t(f, r)
+SELECT 'models/c' || c_custkey || '.sql' AS source_path, r = '' AS deterministic, r AS reasons FROM (SELECT c_custkey, CASE c_custkey % 10
+  WHEN 1 THEN 'volatile: random' WHEN 2 THEN 'order-sensitive: row_number' WHEN 3 THEN 'unknown function: f_of_ours' WHEN 4 THEN 'rows are cut without an order' WHEN 6 THEN 'a frame of rows'
+  WHEN 7 THEN 'a sample,unknown function: tablesample' WHEN 9 THEN 'function in a schema: abs' ELSE '' END AS r FROM customer)
+""",
+    "schema_gate": """
+WITH c AS (
+  SELECT table_name AS t, list(column_name || ' ' || data_type ORDER BY ordinal_position) AS s, list(column_name || ' VARCHAR' ORDER BY ordinal_position) AS x
+  FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem') GROUP BY table_name
+), f AS (
+  SELECT t, 'same' AS form, s FROM c UNION ALL SELECT t, 'reversed', list_reverse(s) FROM c UNION ALL SELECT t, 'fewer', s[1:len(s) - 1] FROM c UNION ALL SELECT t, 'texts', x FROM c
+  UNION ALL SELECT t, 'renamed', list_append(s[1:len(s) - 1], 'other') FROM c
+)
+SELECT a.t AS a, f.t AS b, f.form, a.s = f.s AS equal FROM c a CROSS JOIN f
 """,
-    "schema_gate": "SELECT * FROM (VALUES ('same', true), ('reordered', false), ('renamed', false), ('widened', false), ('fewer', false)) AS t(form, equal)",
 }
