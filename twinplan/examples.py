@@ -84,7 +84,7 @@ select id, 2 ^ 3 as f_power, -2 ^ 2 as f_sign, power(k % 5, 2) as f_pow, round((
   greatest(o_custkey, 500, null) as f_greatest, least(o_custkey, 500) as f_least from {{ ref('orders') }}
 """,
     "texts": """select c_custkey as id, concat(c_name, null, '-', nullif(c_mktsegment, 'BUILDING')) as f_concat, substring(c_name, 0, 4) as f_before, substring(c_name from 3 for 5) as f_from, substr(c_name, -2, 5) as f_negative, substr(c_name, 7) as f_rest,
-  ltrim(c_name, 'Cu') as f_ltrim, rtrim(c_name, '0123456789') as f_rtrim, btrim('  ' || c_mktsegment || ' ') as f_btrim, trim(both '#' from '#' || c_mktsegment || '#') as f_trim, strpos(c_name, '#')::int8 as f_strpos, position('omer' in c_name)::int8 as f_position,
+  ltrim(c_name, 'Cu') as f_ltrim, rtrim(c_name, '0123456789') as f_rtrim, btrim('  ' || c_mktsegment || ' ') as f_btrim, trim(both '#' from '#' || c_mktsegment || '#') as f_trim, strpos(c_name, '#')::int8 as f_strpos, to_number((c_custkey % 90 + 10)::text || '.5', '99D9')::float8 as f_number, position('omer' in c_name)::int8 as f_position,
   split_part(c_name, '#', 2) as f_split, replace(c_name, 'Customer', 'it''s \\') as f_replace, char_length(c_name)::int8 as f_length, concat_ws('|', c_mktsegment, null, c_name) as f_ws, upper(lower(c_name)) as f_upper from {{ ref('customer') }}
 """,
     "times": """select event_id as id, extract(dow from ts)::int8 as f_dow, extract(isodow from ts)::int8 as f_isodow, date_part('year', ts)::int8 as f_year, extract(doy from ts)::int8 as f_doy, floor(extract(epoch from ts))::int8 as f_epoch, date_trunc('hour', ts) as f_hour,
@@ -122,3 +122,22 @@ def gated_corpus(customers: DataFrame) -> DataFrame:
              "sum(x) over (order by x rows between 1 preceding and current row) as y from a", "x from a tablesample (10)", "now() as y from a", "s.abs(x) as y from a"]
     text = F.concat(F.lit("with a as (select x from {{ ref('t0') }}) select "), F.coalesce(*[F.when(k % len(tails) == i, F.lit(x)) for i, x in enumerate(tails)]))
     return customers.select(F.concat(F.lit("models/c"), k.cast("string"), F.lit(".sql")).alias("source_path"), text.cast("binary").alias("content"))
+
+
+def predicate_corpus(customers: DataFrame) -> DataFrame:
+    """A model of two imports for each customer, whose predicates are spelled in one of five ways that the key tells, and one that the nation tells."""
+    ways = ["id > 100 AND kind = 'a'", "ID>100 -- note\n and  kind = 'a'", "id > 100.0 and kind = 'a'", "kind = 'a' and id > 100", "id > 100 and \"kind\" = 'a'"]
+    way = lambda n: F.element_at(F.array(*[F.lit(w) for w in ways]), (n % len(ways) + 1).cast("int"))
+    text = F.concat(F.lit("with a as (select x from {{ ref('t') }} where "), way(F.col("c_custkey")), F.lit("), b as (select x from {{ ref('t') }} where "), way(F.col("c_nationkey")), F.lit(") select a.x from a join b on a.x = b.x"))
+    return customers.select(F.concat(F.lit("models/c"), F.col("c_custkey").cast("string"), F.lit(".sql")).alias("source_path"), text.cast("binary").alias("content"))
+
+
+def grouped_corpus(customers: DataFrame) -> DataFrame:
+    """A model of two imports of one relation for each customer: predicate, column, name further in, reader and purity are each told by a digit of the key in base two."""
+    k = F.col("c_custkey")
+    bit = lambda n, no, yes: F.when(F.shiftright(k, n).bitwiseAND(F.lit(1)) == 1, F.lit(yes)).otherwise(F.lit(no))
+    text = F.concat(
+        F.lit("with a as (select x, y as z from {{ ref('t') }}"), bit(0, "", " where x > 1"), F.lit("), b as (select x, "), bit(1, "y", "w"), F.lit(" as z, v from {{ ref('t') }}), c as ("),
+        bit(2, "select 1 as x", "with a as (select 1 as x) select x from a"), F.lit(") select "), bit(3, "a.x", "a.*"), bit(4, "", ", random() as r"), F.lit(" from a join b on a.x = b.x join c on c.x = a.x"),
+    )
+    return customers.select(F.concat(F.lit("models/c"), k.cast("string"), F.lit(".sql")).alias("source_path"), text.cast("binary").alias("content"))

@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 
 from twinplan.functions.identifiers import Refused
 from twinplan.plans.compiled import compiled_duplicates
-from twinplan.plans.demand import narrowings
+from twinplan.plans.demand import narrowings, prune
 from twinplan.plans.determinism import refusals
-from twinplan.plans.models import called_twice, duplicate_groups, parse_model
+from twinplan.plans.models import called_twice, duplicate_groups, fingerprint, group_codes, parse_model
+from twinplan.plans.rewrite import plan_merge
 
 FINDINGS = "source_path string, upstream string, entries array<string>, status string, reason_codes array<string>, line int"
 CALLS = "source_path string, kind string, package string, name string, source_name string, version string, start int, stop int, line int"
 ENTRIES = "source_path string, entry string, ordinal int, upstream string, columns array<string>, filtered boolean, readers int"
 COMPILED = "source_path string, relation string, entries array<string>, plain boolean"
+CANDIDATES = "source_path string, code string, narrowed array<string>, candidate string"
+REASONS = "source_path string, upstream string, entries array<string>, reason_codes array<string>"
+PRINTS = "source_path string, entry string, print string"
 GATE = "source_path string, deterministic boolean, reasons array<string>"
 
 
@@ -138,6 +142,52 @@ def _compiled(path: str, raw: bytes, rule: str) -> list[dict]:
     return [{"source_path": path, "relation": r, "entries": list(names), "plain": ok} for r, names, ok in found]
 
 
+def candidates(models: DataFrame, rule: str = "lower") -> DataFrame:
+    """Each file after narrowing and merging, the entries that were narrowed, and the code of what kept it from being merged (OK where nothing did)."""
+    return models.select("source_path", "content").mapInPandas(partial(_each, rows=partial(_candidates, rule=rule), schema=CANDIDATES), CANDIDATES)
+
+
+def _candidates(path: str, raw: bytes, rule: str) -> list[dict]:
+    try:
+        narrow, found = prune(raw, rule)
+    except Refused as e:
+        return [{"source_path": path, "code": e.code, "narrowed": [], "candidate": None}]
+    try:
+        out, code = plan_merge(narrow, rule).candidate, "OK"
+    except Refused as e:
+        out, code = narrow, e.code
+    return [{"source_path": path, "code": code, "narrowed": [n.entry.name.value for n in found], "candidate": out.decode("utf-8")}]
+
+
+def group_reasons(models: DataFrame, rule: str = "lower") -> DataFrame:
+    """The groups of imports of one relation, and all reasons against merging each, in their order."""
+    return models.select("source_path", "content").mapInPandas(partial(_each, rows=partial(_reasons, rule=rule), schema=REASONS), REASONS)
+
+
+def _reasons(path: str, raw: bytes, rule: str) -> list[dict]:
+    try:
+        m = parse_model(raw, rule)
+        pure = not refusals(m.masked.text, rule)
+    except Refused:
+        return []
+    return [
+        {"source_path": path, "upstream": _shown(g.call), "entries": [e.name.value for e in g.members], "reason_codes": list(group_codes(m, g, pure))} for g in duplicate_groups(m)
+    ]
+
+
+def predicate_prints(models: DataFrame, rule: str = "lower") -> DataFrame:
+    """The fingerprint of each import's predicate; none where it has none."""
+    return models.select("source_path", "content").mapInPandas(partial(_each, rows=partial(_prints, rule=rule), schema=PRINTS), PRINTS)
+
+
+def _prints(path: str, raw: bytes, rule: str) -> list[dict]:
+    try:
+        m = parse_model(raw, rule)
+    except Refused:
+        return []
+    return [{"source_path": path, "entry": e.name.value, "print": fingerprint(e.predicate, rule) if e.predicate else None} for e in m.entries if e.call is not None]
+
+
 def determinism(models: DataFrame) -> DataFrame:
     return models.select("source_path", "content").mapInPandas(partial(_each, rows=_gate, schema=GATE), GATE)
 
@@ -155,6 +205,3 @@ def duplicate_imports(found: DataFrame) -> DataFrame:
     """From imports(): upstream relations that a file imports twice or more, with their entries in order."""
     one = F.sort_array(F.collect_list(F.struct("ordinal", "entry")))
     return found.groupBy("source_path", "upstream").agg(one.alias("members")).filter(F.size("members") > 1).select("source_path", "upstream", F.col("members.entry").alias("entries"))
-
-
-__all__ = ["discover", "findings", "relation_calls", "imports", "determinism", "duplicate_imports", "duplicate_groups", "model_paths"]

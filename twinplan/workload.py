@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinplan import service
-from twinplan.examples import MODELS, POSTGRES, corpus_of, gated_corpus
+from twinplan.examples import MODELS, POSTGRES, corpus_of, gated_corpus, grouped_corpus, predicate_corpus
 from twinplan.functions import postgres as P
 from twinplan.operators import compare as C
-from twinplan.sources import corpus
+from twinplan.sources import corpus, manifest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -178,7 +178,7 @@ def _postgres_oracle(name: str) -> str:
 _DUCKDB = {
     "arithmetic": {"trunc(y)": "CAST(trunc(y) AS BIGINT)"},
     "casts": {"-2.5::int": "CAST(-2.5 AS int)"},
-    "texts": {"substring(c_name, 0, 4)": "substring(c_name, 1, 3)", "substr(c_name, -2, 5)": "substr(c_name, 1, 2)", "substring(c_name from 3 for 5)": "substring(c_name, 3, 5)", "btrim(": "trim(",
+    "texts": {"to_number((c_custkey % 90 + 10)::text || '.5', '99D9')::float8": "(c_custkey % 90 + 10.5)::float8", "substring(c_name, 0, 4)": "substring(c_name, 1, 3)", "substr(c_name, -2, 5)": "substr(c_name, 1, 2)", "substring(c_name from 3 for 5)": "substring(c_name, 3, 5)", "btrim(": "trim(",
               "trim(both '#' from '#' || c_mktsegment || '#')": "trim('#' || c_mktsegment || '#', '#')", "position('omer' in c_name)": "strpos(c_name, 'omer')"},
     "times": {"to_char(ts, 'YYYY-MM-DD\"T\"HH24:MI:SS')": "strftime(ts, '%Y-%m-%dT%H:%M:%S')", "to_date(to_char(ts, 'DD/MM/YYYY'), 'DD/MM/YYYY')": "CAST(ts AS DATE)",
               "to_timestamp(to_char(ts, 'YYYYMMDD HH24MI'), 'YYYYMMDD HH24MI')::timestamp": "date_trunc('minute', ts)", "to_timestamp(user_id * 1000)::timestamp": "make_timestamp(user_id * 1000 * 1000000)",},
@@ -217,6 +217,45 @@ def compiled_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.compiled_imports(files).withColumn("entries", F.array_join("entries", ","))
 
 
+def call_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the literal calls of the generated files stand, in bytes and lines."""
+    return corpus.relation_calls(_corpus(spark, sf_dir)).select("source_path", "name", "start", "stop", "line")
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated files after narrowing and merging, as texts."""
+    return corpus.candidates(_corpus(spark, sf_dir)).withColumn("narrowed", F.array_join("narrowed", ","))
+
+
+def group_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = corpus.group_reasons(grouped_corpus(_table(spark, sf_dir, "customer")))
+    return found.select("source_path", "upstream", F.array_join("entries", ",").alias("entries"), F.array_join("reason_codes", ",").alias("reason_codes"))
+
+
+def predicate_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the predicates of a file's two imports have one fingerprint."""
+    found = corpus.predicate_prints(predicate_corpus(_table(spark, sf_dir, "customer")))
+    return found.groupBy("source_path").agg((F.count_distinct("print") == 1).alias("same"))
+
+
+def manifest_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls resolved within their owner's dependencies: customers are the models, named by nation in one of two packages, and an order's line is a dependency."""
+    customers = _table(spark, sf_dir, "customer")
+    uid = lambda c: F.concat(F.lit("model."), c.cast("string"))
+    none = F.lit(None).cast("string")
+    nodes = customers.select(
+        uid(F.col("c_custkey")).alias("uid"), F.lit("ref").alias("kind"), F.concat(F.lit("p"), (F.col("c_custkey") % 2).cast("string")).alias("package"),
+        F.concat(F.lit("m"), F.col("c_nationkey").cast("string")).alias("name"), none.alias("source_name"), none.alias("path"), none.alias("relation"),
+    )
+    orders = _table(spark, sf_dir, "orders")
+    edges = orders.select(uid(F.col("o_orderkey") % 50).alias("owner"), uid(F.col("o_custkey") % 200).alias("uid")).distinct()
+    calls = orders.select((F.col("o_orderkey") % 50).alias("k"), (F.col("o_custkey") % 25).alias("n")).distinct().select(
+        uid(F.col("k")).alias("owner"), F.lit("ref").alias("kind"), F.when(F.col("k") % 3 > 0, F.concat(F.lit("p"), (F.col("k") % 3 - 1).cast("string"))).alias("package"),
+        F.concat(F.lit("m"), F.col("n").cast("string")).alias("name"), none.alias("source_name"),
+    )
+    return manifest.resolve(calls, nodes, edges).select("owner", "package", "name", "uid", "code")
+
+
 def schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered names and types of each pair of tables, the second with its columns, or the same ones in reverse, or a name changed."""
     names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -228,11 +267,21 @@ def schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f"rewritten_{k}": _candidate(k) for k in REWRITTEN} | {f"postgres_{k}": _postgres(k) for k in POSTGRES} | {
-    f.__name__: f for f in (reused_wide_as_it_was, scan_findings, relation_calls, corpus_duplicates, compiled_duplicates, determinism_gate, schema_gate)
+    f.__name__: f for f in (reused_wide_as_it_was, scan_findings, relation_calls, call_places, corpus_duplicates, compiled_duplicates, candidates, group_reasons, predicate_prints, manifest_resolution, determinism_gate, schema_gate)
 }
 
 _FILES = "SELECT 'models/c' || c_custkey || '.sql' AS source_path, c_custkey % 6 AS kind, c_custkey % 4 AS k4, c_nationkey % 2 AS n2, c_nationkey % 3 AS n3, c_nationkey % 4 AS n4 FROM customer"
 
+#: The same files with their texts.
+_TEXTS = """SELECT *, CASE kind
+  WHEN 0 THEN concat($$with a as (select x, y from {{ ref('t$$, n3, $$') }}), b as (select x, z from {{ ref('t$$, k4, $$') }}) select a.x, b.z, a.y from a join b on a.x = b.x$$)
+  WHEN 1 THEN concat($$with a as (select x from {{ source('s$$, n2, $$', 't$$, n3, $$') }}),$$, chr(10), $$b as (select x from {{- source("s0", 't1') -}}) select a.x, b.x as w from a cross join b$$)
+  WHEN 2 THEN concat(repeat(chr(10), n4), $$with a as (select * from {{ ref('t$$, n3, $$') }}) select first, row from a$$)
+  WHEN 3 THEN concat($${# not read: {{ ref('t9') }} #}$$, chr(10), $$with a as (select x from {{ ref('t$$, n3, $$') }} where x > 1), -- {% raw %}{{ no }}{% endraw %}$$, chr(10),
+                     $$b as (select x from {{ ref('t$$, n3, $$') }} where x > 2) select a.x from a join b on a.x = b.x$$)
+  WHEN 4 THEN concat($$with a as (select x from {{ ref('p', 't0', v=1) }}), b as (select x from {{ ref('p', 't0', version=$$, n2 + 1, $$) }}) select a.x, b.x as w from a cross join b$$)
+  ELSE concat($$with a as (select x + 1 as y from {{ ref('t0') }}), b as (select x from {{ ref('t$$, n2, $$') }}) select a.y, b.x from a cross join b$$) END AS content FROM f"""
+
 ORACLES |= {f"rewritten_{k}": _baseline(k) for k in REWRITTEN if k not in ("narrow_left_out", "narrow_rows")} | {f"postgres_{k}": _postgres_oracle(k) for k in POSTGRES} | {
     "reused_wide_as_it_was": _baseline("reused_wide"),
     "rewritten_narrow_left_out": _baseline("narrow_left_out").replace("* except (", "* EXCLUDE ("),
@@ -267,6 +316,49 @@ FROM f WHERE (kind = 0 AND n3 = k4) OR (kind = 1 AND n2 = 0 AND n3 = 1) OR kind
 WITH f AS ({_FILES})
 SELECT source_path, CASE kind WHEN 1 THEN 'wh.t1' WHEN 4 THEN 'wh.t01' WHEN 5 THEN 'wh.t0' ELSE 'wh.t' || n3 END AS relation, 'a,b' AS entries, kind <> 5 AS plain
 FROM f WHERE (kind = 0 AND n3 = k4) OR (kind = 1 AND n3 = 1) OR kind = 3 OR (kind IN (4, 5) AND n2 = 0)
+""",
+    "call_places": f"""
+WITH f AS ({_FILES}), g AS ({_TEXTS}), n AS (
+  SELECT *, unnest(CASE kind WHEN 2 THEN [1] WHEN 3 THEN [2, 4] ELSE [1, 2] END) AS nth FROM g
+), p AS (
+  SELECT *, array_to_string(string_split(content, '{{{{')[1:nth], '{{{{') AS ahead, array_to_string(string_split(content, '}}}}')[1:nth], '}}}}') AS through FROM n
+)
+SELECT source_path, regexp_extract(substr(through, length(ahead) + 1), '.(t[0-9]+).[^0-9]', 1) AS name, CAST(strlen(ahead) AS INTEGER) AS start, CAST(strlen(through) + 2 AS INTEGER) AS stop,
+       CAST(1 + length(ahead) - length(replace(ahead, chr(10), '')) AS INTEGER) AS line
+FROM p
+""",
+    "candidates": f"""
+WITH f AS ({_FILES}), g AS ({_TEXTS})
+SELECT source_path,
+       CASE WHEN kind = 0 AND n3 = k4 OR kind = 1 AND n2 = 0 AND n3 = 1 OR kind = 4 AND n2 = 0 THEN 'OK' WHEN kind = 3 THEN 'DIFFERENT_PREDICATE' ELSE 'NO_DUPLICATE_IMPORT' END AS code,
+       CASE kind WHEN 2 THEN 'a' ELSE '' END AS narrowed,
+       CASE WHEN kind = 0 AND n3 = k4 THEN concat('with a as (select x, y, z from {{{{ ref(', chr(39), 't', n3, chr(39), ') }}}}) select a.x, b.z, a.y from a join a as b on a.x = b.x')
+            WHEN kind = 1 AND n2 = 0 AND n3 = 1 THEN concat(split_part(content, ',' || chr(10), 1), ' select a.x, b.x as w from a cross join a as b')
+            WHEN kind = 4 AND n2 = 0 THEN concat(split_part(content, ', b as', 1), ' select a.x, b.x as w from a cross join a as b')
+            WHEN kind = 2 THEN replace(content, '*', 'first, row') ELSE content END AS candidate
+FROM g
+""",
+    "group_reasons": """
+WITH b AS (SELECT c_custkey AS k, c_custkey % 2 AS predicate, (c_custkey // 2) % 2 AS collision, (c_custkey // 4) % 2 AS hidden, (c_custkey // 8) % 2 AS star, (c_custkey // 16) % 2 AS volatile FROM customer)
+SELECT 'models/c' || k || '.sql' AS source_path, 't' AS upstream, 'a,b' AS entries,
+       array_to_string(list_filter([CASE predicate WHEN 1 THEN 'DIFFERENT_PREDICATE' END, CASE collision WHEN 1 THEN 'PROJECTION_COLLISION' END, CASE hidden WHEN 1 THEN 'REFERENCE_BINDING_AMBIGUOUS' END,
+         CASE star WHEN 1 THEN 'UNSUPPORTED_IMPORT_SHAPE' END, CASE volatile WHEN 1 THEN 'NONDETERMINISTIC' END], lambda v: v IS NOT NULL), ',') AS reason_codes FROM b
+""",
+    "predicate_prints": """
+WITH w AS (SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 1, 4) THEN 0 ELSE c_custkey % 5 END AS a, CASE WHEN c_nationkey % 5 IN (0, 1, 4) THEN 0 ELSE c_nationkey % 5 END AS b FROM customer)
+SELECT 'models/c' || c_custkey || '.sql' AS source_path, a = b AS same FROM w
+""",
+    "manifest_resolution": """
+WITH nodes AS (SELECT 'model.' || c_custkey AS uid, 'p' || (c_custkey % 2) AS package, 'm' || c_nationkey AS name FROM customer),
+edges AS (SELECT DISTINCT 'model.' || (o_orderkey % 50) AS owner, 'model.' || (o_custkey % 200) AS uid FROM orders),
+calls AS (
+  SELECT 'model.' || k AS owner, CASE WHEN k % 3 > 0 THEN 'p' || (k % 3 - 1) END AS package, 'm' || n AS name FROM (SELECT DISTINCT o_orderkey % 50 AS k, o_custkey % 25 AS n FROM orders)
+), found AS (
+  SELECT c.owner, c.package, c.name, count(n.uid) AS n, min(n.uid) AS uid
+  FROM calls c LEFT JOIN edges e ON e.owner = c.owner LEFT JOIN nodes n ON n.uid = e.uid AND n.name = c.name AND (c.package IS NULL OR n.package = c.package)
+  GROUP BY c.owner, c.package, c.name
+)
+SELECT owner, package, name, CASE n WHEN 1 THEN uid END AS uid, CASE n WHEN 1 THEN 'OK' ELSE 'SOURCE_MAPPING_AMBIGUOUS' END AS code FROM found
 """,
     "determinism_gate": """
 SELECT 'models/c' || c_custkey || '.sql' AS source_path, r = '' AS deterministic, r AS reasons FROM (SELECT c_custkey, CASE c_custkey % 10
