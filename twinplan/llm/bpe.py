@@ -14,6 +14,12 @@ found in the raw text first; then NFC, lower case character by character, and
 the file's split pattern. Null reads as empty; an empty text has no ids and
 decodes to the empty text. Ids decode to their tokens joined by a space, for the
 file has no decoder.
+
+Words of over LONGEST bytes are not in the lexicon and are merged, whatever their
+length. The file that a worker maps is of its own making, from the broadcast
+automaton, and gone when the mapping is; nothing else reads it. Repeated rows and
+null ids are rows like others; an empty table gives an empty result; other
+columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ ids last; of repeated ids any one).
 4. Every other digest has at most that share of the rows and goes through one
    ordinary shuffle.
 
-Empty tables give empty results; other columns are not looked at.
+Empty tables give empty results; columns other than id and text, whatever their
+names, pass through dedup() unchanged. A text is hashed whole, however long.
 """
 
 from __future__ import annotations

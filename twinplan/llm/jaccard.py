@@ -24,6 +24,11 @@ In each block of texts one of equal sets stands for all of them, and of the
 documents that share a shingle one is shipped with it; a group of any size thus
 weighs as many rows as there are blocks. A region of more than BOUND rows is
 dealt to several tasks (see _split_regions). Sets are of 64-bit hashes.
+
+Repeated rows are links like others; a class is named by the row that comes first
+by id (nulls last), then text. Null and empty texts are alone, with n 0. An empty
+table gives an empty result; columns other than id and text, whatever their
+names, pass through dedup() unchanged. A text's set is held whole by its task.
 """
 
 from __future__ import annotations

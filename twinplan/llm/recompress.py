@@ -16,7 +16,15 @@ window's anchor. Words themselves are symbols, so each window has one.
 
 Shared high-level symbols reveal candidates; equal contexts around them verify
 whole stretches by 128 bits, and the rest is verified window by window by two
-independent 64-bit hashes of its words.
+64-bit hashes, each of a word hash of its own.
+
+The rounds run on the map side, block by block: as a name is a hash of what it
+names, every block gives it alike, and no round has to ask the others.
+
+Ids that repeat or are null are ordered as with_rid() says: of repeated rows the
+first keeps its words. Texts without a word have n_words 0 and the digest of the
+empty text. An empty table gives an empty result; other columns, whatever their
+names, are not looked at. A text of any length is worked on in stretches.
 """
 
 from __future__ import annotations

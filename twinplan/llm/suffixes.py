@@ -15,11 +15,15 @@ splitters have done. In a bucket contexts are matched by hash: a sort of the
 settled so, without a suffix being sorted by its bytes. Only windows of seeds with
 several contexts are compared by a multikey quicksort of their 8-byte tokens,
 which looks at a next token only where all before it are equal.
-A seed with very many contexts is not kept together: each of its windows is
-dealt as a suffix of its own, once a block.
+A seed that the sample shows to be hot is dealt by its contexts before the
+exchange, and a seed with very many contexts is not kept together: each of its
+windows is dealt as a suffix of its own, once a block.
 
 Equal contexts are told by 128 bits (seed and context hash), single windows by
-their bytes. Ids that repeat or are null are ordered as with_rid() says.
+their bytes. Ids that repeat or are null are ordered as with_rid() says, so of
+repeated rows the first keeps its text. An empty table gives an empty result. A
+text of any length is worked on in stretches that overlap by a window. Columns
+other than id and text, whatever their names, pass through strip() unchanged.
 """
 
 from __future__ import annotations

@@ -18,7 +18,10 @@ record ids are name-based; gzip carries no time. So equal input gives equal byte
 
 Null payloads are empty, null ids give a record without a page id, a missing
 address gives an address made of the row's number. Rows with equal ids are
-records of their own. Other columns are not looked at.
+records of their own; of equal payloads under equal ids the last row by number is
+the response. An empty table gives a manifest without files. Other columns,
+whatever their names, are not looked at. A record is built whole in memory, so a
+task needs a few times the longest payload.
 """
 
 from __future__ import annotations
