@@ -7,7 +7,9 @@ record ids are name-based; gzip carries no time. So equal input gives equal byte
 
 1. Digests and winners: a combined aggregate over (SHA-256, length); pages of
    equal payload meet their winner by that key, without their payload.
-2. Members are built where the pages are and written once to the shared folder.
+2. A response is built of each page where the page is, so only compressed records
+   are ever moved; they are written once to the shared folder. Revisits are built
+   of digests and addresses. Where a page has both, the revisit stands.
 3. Records are range-sorted by page id. The running sum of their compressed
    sizes rolls files at `roll` bytes. It is the same however Spark deals the
    rows: sums of the ranges first, then inside each range.
@@ -41,7 +43,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinplan.llm.common import fresh_path, parts, running_total, with_rid, written
+from twinplan.llm.common import FEW, discard, fresh_path, parts, running_total, with_rid, written
 
 REVISIT = 1000
 #: Compressed bytes after which the next file begins. The reader holds one file at a time.
@@ -60,9 +62,9 @@ def _address(url: str | None, rid: int) -> str:
     return url or f"urn:page:{rid}"
 
 
-def member(rid: int, page_id: int | None, url: str | None, payload: bytes, digest: str, refers: tuple[int, int | None, str | None] | None) -> bytes:
-    """One gzip member; refers: row number, id and address of the response that a revisit points at."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def member(rid: int, page_id: int | None, url: str | None, size: int, digest: str, payload: bytes, refers: tuple[int, int | None, str | None] | None = None) -> bytes:
+    """One gzip member; size and digest are the payload's. refers: row number, id and address of the response that a revisit, which has no payload, points at."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers else http + payload
     named = lambda x: "sha1:" + base64.b32encode(bytes.fromhex(x)).decode()
     head = [
@@ -85,34 +87,47 @@ def _opening(name: str) -> bytes:
     return gzip.compress(head.encode() + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _made(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             rows = batch.slice(at, 500).to_pylist()
-            made = [
-                member(r["rid"], r["id"], r["url"], (r["text"] or "").encode(), r["digest"], None if r["to_rid"] is None else (r["to_rid"], r["to_id"], r["to_url"])) for r in rows
-            ]
+            made = [make(r) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r["rid"] for r in rows], pa.int64()), pa.array([len(m) for m in made], pa.int64()), pa.array(made, pa.binary())], ["rid", "size", "member"])
 
 
+def _response(r: dict) -> bytes:
+    payload = (r["text"] or "").encode()
+    return member(r["rid"], r["id"], r["url"], len(payload), hashlib.sha1(payload).hexdigest(), payload)
+
+
+def _revisit(r: dict) -> bytes:
+    return member(r["rid"], r["id"], r["url"], r["bytes"], r["digest"], b"", (r["to_rid"], r["to_id"], r["to_url"]))
+
+
+_MEMBER = "rid long, size long, member binary"
+
+
 def _dealt(batches: Iterator[pa.RecordBatch], first: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shard = np.searchsorted(first, np.asarray(batch.column("rid")), "right") - 1
-        yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), batch.column("rid"), batch.column("member")], ["shard", "rid", "member"])
+        yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), *[batch.column(c) for c in ("rid", "rank", "member")]], ["shard", "rid", "rank", "member"])
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Writes the shards, whose records come sorted, each to a temporary file; a manifest row for each that is complete."""
+    """Writes the shards, whose records come sorted, each to a temporary file; a manifest row for each that is complete. Of a page's records the first is written."""
     files, root = pa.fs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
-    attempt, now, out = uuid.uuid4().hex, None, None
+    attempt, now, out, last = uuid.uuid4().hex, None, None, None
 
     def closed() -> pa.RecordBatch:
         out.close()
         return pa.RecordBatch.from_pylist([{"shard": now, "name": name, "temporary": temporary, "bytes": size, "records": records, "sha256": sha.hexdigest()}], schema=_MANIFEST)
 
     for batch in batches:
-        for shard, data in zip(batch.column("shard").to_pylist(), batch.column("member").to_pylist()):
+        for shard, rid, data in zip(*[batch.column(c).to_pylist() for c in ("shard", "rid", "member")]):
+            if rid == last:
+                continue
+            last = rid
             if shard != now:
                 if out is not None:
                     yield closed()
@@ -153,13 +168,18 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: s
     large = digests.filter(F.col("size") >= least)
     best = large.groupBy("sha256", "size").agg(F.max(F.struct("id", "rid", "url")).alias("to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # only ids and digests meet here; a digest that a third of the rows share is split by the adaptive join
-    revisits = large.select("rid", "sha256", "size").join(best, ["sha256", "size"]).filter("rid != to.rid")
-    marks = digests.select("rid", "digest").join(
-        revisits.select("rid", F.col("to.rid").alias("to_rid"), F.col("to.id").alias("to_id"), F.col("to.url").alias("to_url")), "rid", "left"
-    )
-    made = written(keyed.join(marks, "rid").mapInArrow(_members, "rid long, size long, member binary"), "members")
-
-    sizes = written(made.select("rid", "size").repartitionByRange(n, "rid").withColumn("part", F.spark_partition_id()), "sizes")
+    to = [F.col(f"to.{c}").alias(f"to_{c}") for c in ("rid", "id", "url")]
+    again = large.join(best, ["sha256", "size"]).filter("rid != to.rid").select("rid", "id", "url", "digest", F.col("size").alias("bytes"), *to)
+    revisits = written(again.mapInArrow(partial(_made, make=_revisit), _MEMBER), "revisits")
+    responses = written(keyed.mapInArrow(partial(_made, make=_response), _MEMBER), "responses")
+    if revisits.count() <= FEW:  # else the writer leaves out the responses that have a revisit
+        responses_left = responses.join(F.broadcast(revisits.select("rid")), "rid", "left_anti")
+    else:
+        responses_left = responses
+    made = revisits.withColumn("rank", F.lit(0)).unionByName(responses_left.withColumn("rank", F.lit(1)))
+
+    stands = made.select("rid", "rank", "size").groupBy("rid").agg(F.min(F.struct("rank", "size")).alias("first")).select("rid", "first.size")
+    sizes = written(stands.repartitionByRange(n, "rid").withColumn("part", F.spark_partition_id()), "sizes")
     totals = sizes.groupBy("part").agg(F.sum("size").alias("size")).orderBy("part").collect()
     if not totals:
         manifest = spark.createDataFrame([], "shard int, name string, temporary string, bytes long, records long, sha256 string")
@@ -168,16 +188,17 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: s
     running = F.sum("size").over(Window.partitionBy("part").orderBy("rid").rowsBetween(Window.unboundedPreceding, -1))
     file = F.floor((F.coalesce(running, F.lit(0)) + F.col("before")) / F.lit(roll))
     # one number for each file to be
-    first = sizes.join(running_total(spark, [(r["part"], r["size"]) for r in totals]), "part").withColumn("file", file).groupBy("file").agg(F.min("rid").alias("rid")).orderBy("rid").collect()
-    bounds = np.array([r["rid"] for r in first], np.int64)
-    dealt = made.select("rid", "member").mapInArrow(partial(_dealt, first=bounds), "shard int, rid long, member binary")
+    first = sizes.join(running_total(spark, [(r["part"], r["size"]) for r in totals]), "part").withColumn("file", file).groupBy("file").agg(F.min("rid").alias("rid")).toArrow()
+    bounds = np.sort(np.asarray(first.column("rid")))
+    dealt = made.select("rid", "rank", "member").mapInArrow(partial(_dealt, first=bounds), "shard int, rid long, rank int, member binary")
     tasks = min(n, len(bounds))
     manifest = written(
-        dealt.repartitionById(tasks, F.col("shard") % F.lit(tasks)).sortWithinPartitions("shard", "rid")
+        dealt.repartitionById(tasks, F.col("shard") % F.lit(tasks)).sortWithinPartitions("shard", "rid", "rank")
         .mapInArrow(partial(_write, folder=folder), "shard int, name string, temporary string, bytes long, records long, sha256 string"),
         "manifest",
     )
     manifest.mapInArrow(partial(_commit, folder=folder), manifest.schema).write.parquet(f"{folder}/manifest")
+    discard(digests, revisits, responses, sizes, manifest)
     files, root = pa.fs.FileSystem.from_uri(folder)
     for info in files.get_file_info(pa.fs.FileSelector(root)):
         if info.base_name.startswith("_temporary-"):
