@@ -24,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinplan.llm.common import SPACES, rows_without, with_rid, written
+from twinplan.llm.common import SPACES, parts, rows_without, with_rid, written
 
-#: Share of all rows from which on a digest counts as heavy; 1 / SUPPORT counters are kept.
-SUPPORT = 1e-3
+#: Share of all rows from which on a digest counts as heavy; 1 / support counters are kept. With more than 1 / SUPPORT partitions it is a partition's share, down to LEAST.
+SUPPORT, LEAST = 1e-3, 1e-4
 
 
 def digests(keyed: DataFrame) -> DataFrame:
@@ -37,8 +37,10 @@ def digests(keyed: DataFrame) -> DataFrame:
     )
 
 
-def verdicts(keyed: DataFrame, support: float = SUPPORT) -> DataFrame:
+def verdicts(keyed: DataFrame, support: float | None = None) -> DataFrame:
     """rid, id, keep_rid, keep_id, group_size, kept, text_sha256, of each row of with_rid()."""
+    if support is None:
+        support = max(LEAST, min(SUPPORT, 1 / parts(keyed.sparkSession, keyed)))
     d = written(digests(keyed), "digests")
     best = F.min(F.struct((-F.col("n_code_points")).alias("less"), F.col("rid"), F.col("id")))
     frequent = d.stat.freqItems(["text_sha256"], support).select(F.explode(F.array_distinct("text_sha256_freqItems")).alias("text_sha256"))
@@ -58,7 +60,7 @@ def verdicts(keyed: DataFrame, support: float = SUPPORT) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     keyed = with_rid(docs, id_col, text_col, rows=True)
     return rows_without(keyed, verdicts(keyed, support).filter("not kept"))
