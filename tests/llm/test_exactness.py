@@ -142,10 +142,10 @@ def bytes_removed(rows):
     return out
 
 
-@pytest.mark.parametrize(("share", "least"), [(0.25, 8), (0.0, 2)])
-def test_hot_seeds(spark, share, least, monkeypatch):
+@pytest.mark.parametrize(("held", "least"), [(500_000, 8), (1, 2)])
+def test_hot_seeds(spark, held, least, monkeypatch):
     """A passage that all documents hold with other words around it, dealt by seed and dealt by context."""
-    monkeypatch.setattr(repeats, "SHARE", share)
+    monkeypatch.setattr(repeats, "HELD", held)
     monkeypatch.setattr(repeats, "LEAST", least)
     rnd = random.Random(3)
     some = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))

@@ -37,8 +37,8 @@ from twinplan.llm.common import first_of_groups, merge_spans, parts, written
 HOT = 2000
 #: Documents that the splitters are sampled from, at least (and a quarter of the partitions), and anchors of each.
 SAMPLE_DOCS, SAMPLE_ANCHORS = 1000, 64
-#: A seed with this share of a partition's fair load, as the sample tells, is dealt by its contexts; it takes LEAST sampled anchors to tell.
-SHARE, LEAST = 0.25, 8
+#: A seed of more records than one task shall hold, as LEAST sampled anchors or more tell, is dealt by its contexts.
+HELD, LEAST = 500_000, 8
 
 RUN = (("seed", "u8"), ("ctx", "u8"), ("rid", "i8"), ("start", "u4"), ("n", "u2"), ("at", "u2"))
 SPAN = (("rid", "i8"), ("start", "u4"), ("end", "u4"))
@@ -115,9 +115,11 @@ def spans_batch(rid: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) ->
 class Router:
     """Ranges of leading tokens, cut at sampled splitters. Where splitters repeat, the ranges between them share their token by seed.
 
-    Hot seeds are those that the sample shows to weigh on a partition. Their
-    records are dealt over all partitions by their context, so equal contexts
-    meet and no task holds all contexts of such a seed.
+    Hot seeds are those that the sample shows to have more records than a task
+    shall hold. Their records are dealt over all partitions by their context, so
+    equal contexts meet and no task holds all contexts of such a seed; the windows
+    of those that stay are then compared one by one, which for fewer would cost
+    more than it saves.
     """
 
     def __init__(self, cuts: np.ndarray, hot: np.ndarray = np.zeros(0, np.uint64)):
@@ -158,7 +160,7 @@ def router(keyed: DataFrame, unit, n: int) -> Router:
     if not len(leads):
         return Router(np.zeros(0, np.uint64))
     seed, count = np.unique(seeds, return_counts=True)
-    return Router(leads[(np.arange(1, n) * len(leads)) // n], seed[count >= max(LEAST, SHARE * len(seeds) / n)])
+    return Router(leads[(np.arange(1, n) * len(leads)) // n], seed[(count >= LEAST) & (count / share > HELD)])
 
 
 def _ship(batches: Iterator[pa.RecordBatch], unit, route: Router, n: int) -> Iterator[pa.RecordBatch]:
