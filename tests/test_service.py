@@ -235,6 +235,13 @@ def test_formats():
     assert set(POSTGRES) >= {"times", "clock"}
 
 
+def test_projects_in_a_store_that_spark_reads(spark, project):
+    here = {r["source_path"] for r in corpus.discover(spark, str(project)).select("source_path").collect()}
+    assert here == {f"models/deep/{n}.sql" for n in MODELS}
+    assert {r["source_path"] for r in corpus.discover(spark, f"file://{project}").select("source_path").collect()} == here
+    assert corpus.discover(spark, f"file://{project}/models/deep").count() == 0
+
+
 # --- files -----------------------------------------------------------------------------
 
 

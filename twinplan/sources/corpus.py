@@ -6,6 +6,7 @@ Each file is judged on its own in mapInPandas; nothing is collected.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import partial
 from pathlib import Path
@@ -33,17 +34,29 @@ GATE = "source_path string, deterministic boolean, reasons array<string>"
 
 def model_paths(project: str) -> list[str]:
     """The project file's model-paths; `models` where it has none that can be used."""
+    try:
+        return _listed_paths((Path(project) / "dbt_project.yml").read_bytes())
+    except OSError:
+        return ["models"]
+
+
+def _listed_paths(content: bytes) -> list[str]:
     import yaml
 
     try:
-        found = yaml.safe_load((Path(project) / "dbt_project.yml").read_text())["model-paths"]
+        found = yaml.safe_load(content.decode("utf-8"))["model-paths"]
         return found if found and all(isinstance(p, str) and p for p in found) else ["models"]
-    except (OSError, yaml.YAMLError, KeyError, TypeError, UnicodeDecodeError):
+    except (yaml.YAMLError, KeyError, TypeError, UnicodeDecodeError):
         return ["models"]
 
 
 def discover(spark: SparkSession, project: str) -> DataFrame:
-    """source_path (within the project) and content of all *.sql files under the model paths; paths that leave the project are left out."""
+    """source_path (within the project) and content of all *.sql files under the model paths; paths that leave the project are left out.
+
+    A project may lie in a store that only Spark reads (a folder with a scheme); one without a scheme must be seen by all executors.
+    """
+    if "://" in project:
+        return _discover_remote(spark, project.rstrip("/"))
     root = os.path.realpath(project)
     inside = [p for p in (os.path.realpath(os.path.join(root, m)) for m in model_paths(project)) if os.path.commonpath([p, root]) == root and os.path.isdir(p)]
     if not inside:
@@ -53,6 +66,26 @@ def discover(spark: SparkSession, project: str) -> DataFrame:
     return files.select(relative.alias("source_path"), "content").dropDuplicates(["source_path"])
 
 
+def _discover_remote(spark: SparkSession, project: str) -> DataFrame:
+    binary = lambda: spark.read.format("binaryFile")
+    listed = binary().option("pathGlobFilter", "dbt_project.yml").load(project).select("content").take(1)
+    paths = _listed_paths(bytes(listed[0]["content"])) if listed else ["models"]
+    inside = [p.strip("/") for p in paths if ".." not in p.split("/") and "://" not in p]
+    there = [p for p in inside if _exists(spark, f"{project}/{p}")]
+    if not there:
+        return spark.createDataFrame([], "source_path string, content binary")
+    files = binary().option("pathGlobFilter", "*.sql").option("recursiveFileLookup", True).load([f"{project}/{p}" for p in there])
+    # a path is shown with its scheme and with one slash or three, so what follows the project's own path counts
+    own = re.sub(r"^[A-Za-z][\w+.-]*:/*", "", project)
+    relative = F.regexp_replace(F.regexp_replace("path", r"^[A-Za-z][\w+.-]*:/*", ""), f"^{re.escape(own)}/", "")
+    return files.select(relative.alias("source_path"), "content").dropDuplicates(["source_path"])
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+
 def _shown(call) -> str:
     return ".".join(str(x) for x in (call.source_name or call.package, call.name, call.version) if x is not None)
 
