@@ -133,15 +133,18 @@ def running_total(spark: SparkSession, sizes: list[tuple[int, int]]) -> DataFram
 FEW = 4_000_000
 
 
+def where_few(rows: DataFrame, most: int = FEW) -> DataFrame:
+    """A written table of row numbers, to be joined to texts: broadcast where it has few rows, so that texts stay where they are; else hashed after a shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows.hint("shuffle_hash")
+
+
 def rows_without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of with_rid(rows=True) whose rid is not in dropped, with their own columns.
 
     Few rows are dropped as a rule, so they go to the texts and not the texts to
     them; only where they are more than FEW do both meet in a shuffle.
     """
-    gone = written(dropped.select("rid"), "dropped")
-    gone = F.broadcast(gone) if gone.count() <= FEW else gone.hint("shuffle_hash")
-    return keyed.join(gone, "rid", "left_anti").select("row.*")
+    return keyed.join(where_few(written(dropped.select("rid"), "dropped")), "rid", "left_anti").select("row.*")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinplan.llm.blocks import POWERS_WORD, Block, text_blocks, word_hashes, words_of
-from twinplan.llm.common import Rolling, first_of_groups, mix, parts, rows_without, with_rid, written
+from twinplan.llm.common import FEW, Rolling, first_of_groups, mix, parts, rows_without, where_few, with_rid, written
 from twinplan.llm.components import components
 from twinplan.llm.repeats import PACKED, by_rid, packed, part_of_rid, ranges, unpacked
 
@@ -541,7 +541,7 @@ def classes(keyed: DataFrame, percent: int = PERCENT, words: int = SIZE) -> Data
     answered = asked.mapInArrow(partial(_answer, n=n), PACKED).repartitionById(n, F.col("part"))
     decided = written(answered.mapInArrow(_decide, "rid long, n long, on boolean"), "decided")
     alone = decided.filter("not on").join(keyed.select("rid", "id"), "rid").select("rid", "id", "n", F.col("id").alias("component"), F.col("rid").alias("first"))
-    rest = written(keyed.join(decided.filter("on").select("rid"), "rid", "left_semi"), "rest")
+    rest = written(keyed.join(where_few(decided.filter("on").select("rid")), "rid", "left_semi"), "rest")
     return alone.unionByName(_classes(rest, order, percent, words, n))
 
 
@@ -557,7 +557,7 @@ def _classes(keyed: DataFrame, order: Order, percent: int, words: int, n: int) -
     every = inner.unionByName(roots)
     heads = every.select(F.col("region").alias("rid"), "region").distinct()
     regions = written(every.unionByName(heads), "regions")
-    texts = keyed.join(regions, "rid", "left")
+    texts = keyed.join(where_few(regions, FEW // 2), "rid", "left")
     layout = "part int, kind string, region long, rid long, id long, n long, rep long, data binary"
     sets = texts.select("rid", "id", "text", "region").mapInArrow(partial(_sets, words=words, n=n), layout)
     large = written(regions.groupBy("region").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BOUND), "large")
