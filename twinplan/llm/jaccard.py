@@ -513,7 +513,9 @@ def _split_regions(sets: DataFrame, percent: int, n: int) -> DataFrame:
     )
     most = named.groupBy("region", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("region").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
     cells = named.groupBy("region", "cell").agg(F.ceil(F.count(F.lit(1)) / BOUND).alias("tasks")).groupBy("region").agg(F.collect_list(F.struct("cell", "tasks")).alias("cells"))
-    known = named.join(most.filter("labels > 1").join(cells, "region"), "region").join(sets.select("rid", "data"), "rid")
+    # a row for each large region, of at most LAST_PIVOT cells: so few that a region's rows need not meet in one task
+    plans = written(most.filter("labels > 1").join(cells, "region"), "plans")
+    known = named.join(where_few(plans, FEW // LAST_PIVOT), "region").join(sets.select("rid", "data"), "rid")
     own = F.filter("cells", lambda c: c["cell"] == F.col("cell"))[0]["tasks"]
     homes = known.select("region", "cell", F.pmod(F.xxhash64("rid", F.lit(7)), own).alias("salt"), F.lit(False).alias("is_stray"), "label", "data")
     strays = known.filter("label != most.label").select(
@@ -564,8 +566,8 @@ def _classes(keyed: DataFrame, order: Order, percent: int, words: int, n: int) -
     split = None
     if large.take(1):
         sets = written(sets, "sets")
-        split = sets.filter("kind = 'set'").join(large, "region").select("region", "m", "rid", "id", "n", "data")
-        sets = sets.join(large.select("region", F.lit(True).alias("large")), "region", "left").filter("kind != 'set' or large is null").drop("large")
+        split = sets.filter("kind = 'set'").join(where_few(large), "region").select("region", "m", "rid", "id", "n", "data")
+        sets = sets.join(where_few(large).select("region", F.lit(True).alias("large")), "region", "left").filter("kind != 'set' or large is null").drop("large")
     joined = written(
         sets.repartitionById(n, F.col("part")).sortWithinPartitions("kind", "region")
         .mapInArrow(partial(_join_regions, percent=percent), "kind string, rid long, id long, n long, rep long, component long, first long"),
