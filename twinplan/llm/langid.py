@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinplan.llm.blocks import Block, stretch_hashes, text_blocks
-from twinplan.llm.common import Powers, Rolling, discard, mix, written
+from twinplan.llm.common import Powers, Rolling, discard, mix, where_few, written
 
 VOCABULARY = "piece_bpe_32k.model"
 #: About this many training documents a language, chosen by the hash of their id.
@@ -302,9 +302,10 @@ def train(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id"
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter((remainder("id") != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     spread = F.pmod(F.xxhash64("id", "text", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(counts, "lang").filter(spread < F.lit(float(most)) / F.col("n")).select("text", "lang")
+    # a row for each language goes to the texts; joined by language, a third of all texts could meet in one task
+    chosen = rows.join(where_few(counts), "lang").filter(spread < F.lit(float(most)) / F.col("n")).select("text", "lang")
     forms = written(chosen.mapInArrow(_count_rows, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "forms")
     names = sorted(r["lang"] for r in forms.select("lang").distinct().collect())
     if not names:
@@ -323,7 +324,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id"
             on = lang == name
             seen[piece[on]] += n[on]
             p[name][:-1, 0] = seen / seen.sum()
-    discard(forms)
+    discard(forms, counts)
     return Model(names, every, np.hstack([p[n] for n in names]))
 
 
