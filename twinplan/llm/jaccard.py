@@ -8,10 +8,12 @@ smallest id reachable by links.
 Unrelated documents are all at distance 1 from one another and from every pivot,
 so no pivot tells them apart; first come the regions in which distances say
 something. Sets that share too few of their first shingles with any other are
-alone (see _ask). Linked documents share one of the first n - ceil(PERCENT n / 100) + 1
-shingles of each set in any common order, here the rarest first by a bounded
-sample, then by hash. What such shingles connect, by
-steps between sizes that a link can span, is one region, and no link leaves it. Inside of a region pivots make Voronoi cells, farthest first:
+alone (see _ask). Linked sets lack few shingles of one another, so when the
+shingles are dealt to more parts than that, one part has the same shingles in
+both. What equal parts connect, by steps between sizes that a link can span, is
+one region, and no link leaves it (see _signatures). Single shingles would not
+do: unrelated texts share some, more of them the larger the table is, until most
+sets are one region. Inside of a region pivots make Voronoi cells, farthest first:
 
 * a set within the link distance of a pivot is linked there and then;
 * a set goes to its nearest pivot's cell, and by the triangle inequality to each
@@ -130,6 +132,49 @@ def _may_miss(size: np.ndarray, percent: int) -> np.ndarray:
     return size - (percent * size + 99) // 100
 
 
+def _size_classes(percent: int) -> np.ndarray:
+    """The least size of each class, from 1 on, up to 2**31: linked sets are of one class or of neighbouring ones."""
+    least = [1, 2]
+    while least[-1] < 1 << 31:
+        least.append(max(least[-1] + 1, 100 * (least[-1] - 1) // percent + 1))
+    return np.array(least, np.int64)
+
+
+def _signatures(h: np.ndarray, first: np.ndarray, order: Order, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of which two linked sets have one in common, and their set.
+
+    Linked sets of at most `most` shingles differ in at most `may` ones, as 100 I >=
+    percent (|x| + |y| - I). The shingles that the sample does not show to be
+    frequent are dealt to more than `may` parts by hash. A set that fills more
+    than `may` parts shares the whole of one with any linked set, and a part of
+    several shingles hardly ever equals an unrelated set's. Sets that fill fewer,
+    as they are short of rare shingles, have their first shingles as well, of which
+    two linked ones share one. Pairs meet in the class of the larger one, so a set
+    stands in its own and in the next.
+    """
+    size = np.diff(first)
+    owner = np.repeat(np.arange(len(size)), size)
+    rare = order.key(h) >> np.uint64(56) == 0
+    token, holder = mix(h[rare] ^ np.uint64(0x2545F4914F6CDD1D)), owner[rare]
+    least, values, owners, few = _size_classes(percent), [], [], np.zeros(len(size), bool)
+    for step in (0, 1):
+        at = np.searchsorted(least, size, "right") + step
+        may = 2 * (100 - percent) * (least[at] - 1) // (100 + percent)
+        n = np.where(size > 0, may + 1 + may // 8, 0)
+        start = np.cumsum(n) - n
+        part = start[holder] + ((token >> np.uint64(32)) % n[holder].astype(np.uint64)).astype(np.int64)
+        sums = np.zeros(int(n.sum()), np.uint64)
+        np.add.at(sums, part, mix(token + np.uint64(0x9E3779B97F4A7C15)))
+        full = np.flatnonzero(np.bincount(part, minlength=len(sums)))
+        of = np.repeat(np.arange(len(size)), n)[full]
+        values.append(mix(sums[full] ^ mix((at[of] << 32 | full - start[of]).astype(np.uint64))))
+        owners.append(of)
+        few |= np.bincount(of, minlength=len(size)) <= may
+    value, of = _prefixes(h, first, order, percent)
+    on = few[of]
+    return np.concatenate([*values, value[on]]), np.concatenate([*owners, of[on]])
+
+
 def _ask(batches: Iterator[pa.RecordBatch], order: Order, percent: int, words: int, n: int) -> Iterator[pa.RecordBatch]:
     """Which of a set's first shingles does another set have?
 
@@ -238,7 +283,7 @@ def _cover(batches: Iterator[pa.RecordBatch], order: Order, percent: int, words:
     for block in text_blocks(batches):
         rids = np.asarray(block.rows.column("rid"))
         sets, first = shingle_sets(block, words)
-        h, owner = _prefixes(sets, first, order, percent)
+        h, owner = _signatures(sets, first, order, percent)
         size = np.diff(first)[owner]
         rank = np.argsort(rids, kind="stable")
         place = np.empty(block.n, np.int64)
