@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +88,29 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system; where the C library has no malloc_trim, only Arrow's part."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """For functions of mapInArrow: once a task's last batch is out, its memory is given back.
+
+    Workers wait for other tasks, as many as an executor ever had at once; what
+    they have freed but not returned would count against it all that time.
+    """
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        yield from f(*args, **kwargs)
+        give_back()
+
+    return run
+
+
 def parts(spark: SparkSession, df: DataFrame | None = None, times: float = 1.0) -> int:
     """How many partitions a keyed shuffle gets: the session's setting, and no fewer than times the input's splits."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

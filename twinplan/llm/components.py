@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinplan.llm.common import written
+from twinplan.llm.common import lean, written
 
 
 #: Up to so many edges (16 bytes each) one task finds the components; beyond, rounds over the whole cluster do.
 ONE_TASK = 500_000
 
 
+@lean
 def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs = [np.stack([np.asarray(b.column("u")), np.asarray(b.column("v"))]) for b in batches if b.num_rows]
     if not pairs:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinplan.llm.blocks import POWERS_WORD, Block, text_blocks, word_hashes, words_of
-from twinplan.llm.common import FEW, Rolling, first_of_groups, mix, parts, rows_without, where_few, with_rid, written
+from twinplan.llm.common import FEW, Rolling, first_of_groups, lean, mix, parts, rows_without, where_few, with_rid, written
 from twinplan.llm.components import components
 from twinplan.llm.repeats import PACKED, by_rid, packed, part_of_rid, ranges, unpacked
 
@@ -96,6 +96,7 @@ class Order:
         return np.minimum(seen, np.uint64(255)) << np.uint64(56) | mix(h) >> np.uint64(8)
 
 
+@lean
 def _sampled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches):
         h, _ = shingle_sets(block, size)
@@ -175,6 +176,7 @@ def _signatures(h: np.ndarray, first: np.ndarray, order: Order, percent: int) ->
     return np.concatenate([*values, value[on]]), np.concatenate([*owners, of[on]])
 
 
+@lean
 def _ask(batches: Iterator[pa.RecordBatch], order: Order, percent: int, words: int, n: int) -> Iterator[pa.RecordBatch]:
     """Which of a set's first shingles does another set have?
 
@@ -206,6 +208,7 @@ def _ask(batches: Iterator[pa.RecordBatch], order: Order, percent: int, words: i
         yield pa.RecordBatch.from_arrays([rows.column("part"), rows.column("kind"), pa.array(named, pa.binary())], ["part", "kind", "data"])
 
 
+@lean
 def _answer(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     held = []
     for batch in batches:
@@ -226,6 +229,7 @@ def _answer(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     yield packed(by_rid(head, n), {"head": head, "place": key & 0xFFFF, "seen": seen}, ANSWER, "answer")
 
 
+@lean
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[bytes]] = {"needed": [], "answer": []}
     for batch in batches:
@@ -279,6 +283,7 @@ def _least_label(group: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+@lean
 def _cover(batches: Iterator[pa.RecordBatch], order: Order, percent: int, words: int, n: int) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches):
         rids = np.asarray(block.rows.column("rid"))
@@ -304,6 +309,7 @@ def _cover(batches: Iterator[pa.RecordBatch], order: Order, percent: int, words:
         )
 
 
+@lean
 def _meet(batches: Iterator[pa.RecordBatch], percent: int, n: int) -> Iterator[pa.RecordBatch]:
     """What a partition's chains connect, as one star for each of its components: fewer edges than it has roots."""
     held = []
@@ -322,6 +328,7 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int, n: int) -> Iterator[p
         yield packed(by_rid(root[on], n), {"rid": root[on], "region": root[label[on]]}, PLACED, "edge")
 
 
+@lean
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The places of a partition, and its edges once each."""
     held: dict[str, list[bytes]] = {"placed": [], "edge": []}
@@ -334,6 +341,7 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([kind] * len(pairs), pa.string()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["kind", "a", "b"])
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch], words: int, n: int) -> Iterator[pa.RecordBatch]:
     """For texts with a region: of equal sets in a block one as a packed set, the others as members; for the rest, the result."""
     for block in text_blocks(batches):
@@ -435,6 +443,7 @@ class Region:
             self.join(cell[member[k]])
 
 
+@lean
 def _join_regions(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     found: dict[int, list[tuple]] = {}
 
@@ -484,6 +493,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[st
         yield key, (r[len(keys) :] for r in group)
 
 
+@lean
 def _place(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links among a share of a region's sets and its pivots, and of each set its cell and, as bits, the cells it is routed to."""
     for (region, _), group in _groups(batches, ["region", "salt"], ["is_set", "rid", "data"]):
@@ -507,6 +517,7 @@ def _place(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         )
 
 
+@lean
 def _compare_strays(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links of strays with the sets of a part of a cell, as pairs of labels. The strays follow the sets and are held one at a time."""
     for _, group in _groups(batches, ["region", "cell", "salt", "is_stray"], ["label", "data"]):

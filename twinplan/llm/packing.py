@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinplan.llm.blocks import text_blocks, words_of
-from twinplan.llm.common import with_rid, written
+from twinplan.llm.common import lean, with_rid, written
 
 BUCKETS, BUDGET, SHARD = 16, 1 << 16, 1 << 14
 
 
+@lean
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches):
         n = np.diff(words_of(block).first)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinplan.llm.blocks import Block, text_blocks
-from twinplan.llm.common import first_of_groups, merge_spans, parts, written
+from twinplan.llm.common import first_of_groups, lean, merge_spans, parts, written
 
 #: Contexts of one anchor from which on its windows are compared as suffixes of their own.
 HOT = 2000
@@ -138,6 +138,7 @@ class Router:
         return np.where(self.is_hot(seed), (context % np.uint64(n)).astype(np.int32), self.part(lead, seed))
 
 
+@lean
 def _leads(batches: Iterator[pa.RecordBatch], unit) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches):
         for piece in unit.pieces(block):
@@ -163,6 +164,7 @@ def router(keyed: DataFrame, unit, n: int) -> Router:
     return Router(leads[(np.arange(1, n) * len(leads)) // n], seed[(count >= LEAST) & (count / share > HELD)])
 
 
+@lean
 def _ship(batches: Iterator[pa.RecordBatch], unit, route: Router, n: int) -> Iterator[pa.RecordBatch]:
     for block in text_blocks(batches):
         rids = np.asarray(block.rows.column("rid"))
@@ -176,6 +178,7 @@ def _ship(batches: Iterator[pa.RecordBatch], unit, route: Router, n: int) -> Ite
             yield packed(route.part_of_context(r["lead"][stay], r["seed"][stay], r["ctx"][stay], n), columns, RUN, "run")
 
 
+@lean
 def _meet(batches: Iterator[pa.RecordBatch], unit, route: Router, n: int) -> Iterator[pa.RecordBatch]:
     runs: list[bytes] = []
     for batch in batches:
@@ -238,6 +241,7 @@ def ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(before, size) + np.repeat(lo, size)
 
 
+@lean
 def _reopen(batches: Iterator[pa.RecordBatch], unit, route: Router, n: int) -> Iterator[pa.RecordBatch]:
     for block, records, lo, hi in _records_then_blocks(batches, PARTIAL):
         pick = ranges(lo, hi - lo)
@@ -245,6 +249,7 @@ def _reopen(batches: Iterator[pa.RecordBatch], unit, route: Router, n: int) -> I
             yield from unit.reopen(block, np.repeat(np.arange(block.n), hi - lo), {k: v[pick] for k, v in records.items()}, route, n)
 
 
+@lean
 def _compare(batches: Iterator[pa.RecordBatch], unit, n: int) -> Iterator[pa.RecordBatch]:
     held: list[bytes] = []
     for batch in batches:
@@ -257,6 +262,7 @@ def _compare(batches: Iterator[pa.RecordBatch], unit, n: int) -> Iterator[pa.Rec
         yield unit.compare(held, n)
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch], unit, how: str) -> Iterator[pa.RecordBatch]:
     for block, records, lo, hi in _records_then_blocks(batches, SPAN):
         spans = []
