@@ -13,7 +13,7 @@ run; its context is the text from its first window's start to its last one's end
    Anchors that a sample shows to be hot are dealt by anchor and context before the
    exchange, and the earliest of each of their contexts goes on.
 3. Those few go back to their texts, their windows are compared one by one.
-4. What was found is cut out of the texts.
+4. What was found is cut out of the texts; where the others pass through unchanged, only the texts named are shuffled for it.
 
 Records travel as packed columns, so Spark moves few large rows. Each job's
 result is a table in the shared folder; each task depends on its input alone.
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinplan.llm.blocks import Block, text_blocks
-from twinplan.llm.common import first_of_groups, lean, merge_spans, parts, written
+from twinplan.llm.common import FEW, first_of_groups, lean, merge_spans, parts, where_few, written
 
 #: Contexts of one anchor from which on its windows are compared as suffixes of their own.
 HOT = 2000
@@ -271,16 +271,46 @@ def _cut(batches: Iterator[pa.RecordBatch], unit, how: str) -> Iterator[pa.Recor
         yield unit.cut(block, spans, how)
 
 
-def remove_repeats(keyed: DataFrame, unit, how: str, schema: str) -> DataFrame:
-    """For each row of with_rid(): what unit.cut() returns of its text and the spans to remove."""
-    spark = keyed.sparkSession
-    keyed = keyed.select("rid", "id", "text")
-    n = parts(spark, keyed)
+@lean
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that spans name, once a task."""
+    found = np.zeros(0, np.int64)
+    for batch in batches:
+        found = np.unique(np.r_[found, unpacked(batch.column("data").to_pylist(), SPAN)["rid"]])
+    yield pa.RecordBatch.from_arrays([pa.array(found)], ["rid"])
+
+
+def _spans(keyed: DataFrame, unit, n: int) -> DataFrame:
+    """What is to be removed, packed by part_of_rid()."""
     route = router(keyed, unit, n)
     to_parts = lambda df: df.repartitionById(n, F.col("part"))
     shipped = keyed.select("rid", "text").mapInArrow(partial(_ship, unit=unit, route=route, n=n), PACKED)
     met = written(to_parts(shipped).mapInArrow(partial(_meet, unit=unit, route=route, n=n), PACKED), "met")
     opened = _with_texts(keyed, met.filter("kind = 'partial'"), n).mapInArrow(partial(_reopen, unit=unit, route=route, n=n), PACKED)
     compared = written(to_parts(opened).mapInArrow(partial(_compare, unit=unit, n=n), PACKED), "compared")
-    spans = met.filter("kind = 'span'").unionByName(compared)
-    return _with_texts(keyed, spans, n).mapInArrow(partial(_cut, unit=unit, how=how), schema)
+    return met.filter("kind = 'span'").unionByName(compared)
+
+
+def remove_repeats(keyed: DataFrame, unit, how: str, schema: str) -> DataFrame:
+    """For each row of with_rid(): what unit.cut() returns of its text and the spans to remove."""
+    keyed = keyed.select("rid", "id", "text")
+    n = parts(keyed.sparkSession, keyed)
+    return _with_texts(keyed, _spans(keyed, unit, n), n).mapInArrow(partial(_cut, unit=unit, how=how), schema)
+
+
+def cut_rows(keyed: DataFrame, unit) -> DataFrame:
+    """rid, row and kept (the text without its repeats, null where it has none) for each row of with_rid(rows=True).
+
+    Most texts have no repeat. The numbers of those that have one go to the rows, so
+    that the others are not shuffled; only where they are more than FEW all rows are.
+    """
+    texts = keyed.select("rid", "id", "text")
+    n = parts(keyed.sparkSession, texts)
+    spans = _spans(texts, unit, n)
+    named = written(spans.select("data").mapInArrow(_named, "rid long").distinct(), "named")
+    some, rest = keyed, None
+    if named.count() <= FEW:
+        some, rest = (keyed.join(where_few(named), "rid", how) for how in ("left_semi", "left_anti"))
+    new = _with_texts(some, spans, n).mapInArrow(partial(_cut, unit=unit, how="text"), "rid long, text string").select("rid", F.col("text").alias("kept"))
+    out = some.select("rid", "row").join(new, "rid", "left")
+    return out if rest is None else out.unionByName(rest.select("rid", "row", F.lit(None).cast("string").alias("kept")))

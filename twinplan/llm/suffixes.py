@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from twinplan.llm.blocks import Block, byte_hashes, byte_hashes_2
 from twinplan.llm.common import merge_spans, with_rid
-from twinplan.llm.repeats import Piece, Router, packed, ranges, remove_repeats, settle, spans_batch
+from twinplan.llm.repeats import Piece, Router, cut_rows, packed, ranges, remove_repeats, settle, spans_batch
 
 #: Bytes of a long text that are worked on at once.
 STRETCH = 1 << 20
@@ -226,10 +226,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit
 
 def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: Bytes = Bytes()) -> DataFrame:
     """docs with the repeats cut out of the text; a character goes if all its bytes do. A null text stays null."""
-    keyed = with_rid(docs, id_col, text_col, rows=True)
-    # only texts that change come back, and a row travels with its text once
-    new = remove_repeats(keyed, unit, "text", "rid long, text string").select("rid", F.col("text").alias("kept"))
-    return keyed.select("rid", "row").join(new, "rid", "left").select(
+    return cut_rows(with_rid(docs, id_col, text_col, rows=True), unit).select(
         *[(F.coalesce("kept", F.col("row")[c].cast("string")) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
     )
 
